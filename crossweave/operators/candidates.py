@@ -85,16 +85,22 @@ def candidates(
     return ws.save(fresh.select("query_id", "from", "to").distinct(), "candidates")
 
 
-def expandable(
-    ws: Workspace, scope: Stored, net: Stored, edges: Stored, repaired: Stored
-) -> DataFrame:
-    """``(query_id, ego)`` of the pages in scope which have out-links and receive something."""
+def reachable(scope: Stored, net: Stored, edges: Stored, repaired: Stored) -> DataFrame:
+    """``(query_id, ego)``: pages with out-links that a page in scope delivers something to.
+
+    The reached pages themselves need not be in scope.
+    """
+    foreign = _foreign_names(repaired).withColumnsRenamed({"member": "ego", "to": "dst"})
     names = _foreign_names(repaired).select("member", "lang")
     speaks = (
         hot_join(net.df.select("ego", "member"), names, "member", left_rows=net.rows)
         .select("ego", "lang")
         .distinct()
     )
-    routes = _routes(ws, scope, edges, repaired)
-    reached = hot_join(routes.df, speaks, ["ego", "lang"], "left_semi", left_rows=routes.rows)
+    linking = _linking(edges).withColumnRenamed("ego", "dst")
+    useful = foreign.join(speaks, ["ego", "lang"], "left_semi")
+    useful = hot_join(
+        useful, linking, "dst", "left_semi", left_rows=repaired.rows, left_profile=foreign
+    )
+    reached = hot_join(scope.df, useful.select("ego", "dst"), "ego", left_rows=scope.rows)
     return reached.select("query_id", F.col("dst").alias("ego")).distinct()

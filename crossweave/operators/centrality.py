@@ -231,12 +231,14 @@ CENTRALITIES: dict[str, Callable[[Workspace, Stored, Stored], DataFrame]] = {
     "RPR": reciprocal_page_rank,
     "HITS": authority_vectors,
 }
+# Measures that give every member the weight 1.
+UNIT_WEIGHTS = {"HITS"}
 
 
 def vectors(ws: Workspace, net: Stored, edges: Stored, centrality: str) -> Stored:
     """The weights of each neighbourhood's members under a named centrality."""
     if centrality not in CENTRALITIES:
         raise ValueError(f"unknown centrality {centrality!r}, not in {sorted(CENTRALITIES)}")
-    if centrality == "HITS":
-        return net.view(authority_vectors(ws, net, edges))
-    return ws.save(CENTRALITIES[centrality](ws, net, edges), "vectors")
+    weights = CENTRALITIES[centrality](ws, net, edges)
+    # Unit weights are a mere projection of the written neighbourhoods.
+    return net.view(weights) if centrality in UNIT_WEIGHTS else ws.save(weights, "vectors")

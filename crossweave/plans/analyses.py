@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.operators.candidates import candidates, expandable, find_articles, homologous
-from crossweave.operators.centrality import vectors
+from crossweave.operators.candidates import candidates, find_articles, homologous, reachable
+from crossweave.operators.centrality import UNIT_WEIGHTS, vectors
 from crossweave.operators.similarity import pair_similarity
 from crossweave.operators.skew import hot_join
 from crossweave.plans.graph import LinkGraph, Nets
@@ -65,7 +65,7 @@ def rank(recommended: Recommendations, centrality: str) -> Stored:
     ws = graph.ws
     scope = ws.save(found.df.select("query_id", F.col("to").alias("ego")).distinct(), "targets")
     nets = recommended.nets.extended(scope.df.select("ego").distinct())
-    alive = expandable(ws, scope, nets.table, graph.edges, graph.cross.repaired)
+    alive = reachable(scope, nets.table, graph.edges, graph.cross.repaired)
     rankable = ws.save(
         hot_join(
             found.df,
@@ -79,7 +79,7 @@ def rank(recommended: Recommendations, centrality: str) -> Stored:
     pairs = ws.save(rankable.df.select("from", "to").distinct(), "frompairs")
     ends = pairs.df.select(F.explode(F.array("from", "to")).alias("ego")).distinct()
     weights = vectors(ws, nets.restricted(ends), graph.edges, centrality)
-    scores = pair_similarity(ws, pairs, weights)
+    scores = pair_similarity(ws, pairs, weights, unit=centrality in UNIT_WEIGHTS)
     ranked = rankable.df.join(scores, ["from", "to"]).select("query_id", "from", "to", "score")
     placed = rankable.df.select("query_id", "from").distinct()
     unplaced = hot_join(
@@ -101,7 +101,8 @@ def relate(
     titles = asked.df.select(F.explode(F.array("title_a", "title_b")).alias("title")).distinct()
     scope = title_scope(graph, titles.select(F.col("title").alias("query_id"), "title"), pivot)
     nets = Nets.of(graph, step, ws.save(scope.df.select("ego").distinct(), "egos"))
-    alive = expandable(ws, scope, nets.table, graph.edges, graph.cross.repaired)
+    alive = reachable(scope, nets.table, graph.edges, graph.cross.repaired)
+    alive = hot_join(scope.df, alive, ["query_id", "ego"], "left_semi", left_rows=scope.rows)
     named = graph.pages.df.select(F.col("sid").alias("ego"), "title", "lang")
     sides = ws.save(
         alive.join(named, "ego").select(F.col("query_id").alias("query"), "ego", "title", "lang"),
@@ -132,7 +133,7 @@ def relate(
     distinct = ws.save(both.df.select("from", "to").distinct(), "frompairs")
     ends = distinct.df.select(F.explode(F.array("from", "to")).alias("ego")).distinct()
     weights = vectors(ws, nets.restricted(ends), graph.edges, centrality)
-    scores = pair_similarity(ws, distinct, weights)
+    scores = pair_similarity(ws, distinct, weights, unit=centrality in UNIT_WEIGHTS)
     return (
         both.df.join(scores, ["from", "to"])
         .select("pair_id", "from", "fromTitle", "to", "toTitle", "lang", F.col("score").alias("jaccard"))
