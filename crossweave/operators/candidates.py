@@ -18,14 +18,15 @@ def find_articles(titles: DataFrame, pages: DataFrame, pivot: str) -> DataFrame:
 
     Among pages of equal title the smallest key counts.
     """
-    found = titles.join(pages.where(F.col("lang") == pivot).select("title", "sid"), "title")
-    return found.groupBy("query_id").agg(F.min("sid").alias("sid"))
+    named = pages.where(F.col("lang") == pivot).groupBy("title").agg(F.min("sid").alias("sid"))
+    return titles.join(named, "title").select("query_id", "sid")
 
 
-def homologous(articles: DataFrame, repaired: Stored) -> DataFrame:
+def homologous(articles: Stored, repaired: Stored) -> DataFrame:
     """The scope of each article: all its counterparts, itself included."""
     members = repaired.df.select(F.col("v").alias("sid"), F.col("member").alias("ego"))
-    return articles.join(members, "sid").select("query_id", "ego").distinct()
+    found = hot_join(articles.df, members, "sid", left_rows=articles.rows)
+    return found.select("query_id", "ego").distinct()
 
 
 def _foreign_names(repaired: Stored) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # A key is hot from this many rows on.  A table of n rows has at most
 # n / HOT_ROWS hot keys, which bounds the list that is broadcast.
-HOT_ROWS = 1_000_000
+HOT_ROWS = 4_000_000
 
 
 def _shares(df: DataFrame, keys: list[str], hot_rows: int, name: str) -> DataFrame:

@@ -17,16 +17,20 @@ from crossweave.workspace import Stored
 
 @dataclass
 class Recommendations:
-    """``found(query_id, from, to)`` and the neighbourhoods it came from."""
+    """``found(query_id, from, to)`` and the neighbourhoods it came from.
+
+    ``single`` says there is just one query, so that its pairs are distinct.
+    """
 
     graph: LinkGraph
     nets: Nets
     found: Stored
+    single: bool = False
 
 
 def title_scope(graph: LinkGraph, titles: DataFrame, pivot: str) -> Stored:
     """The pages taking part in each query ``titles(query_id, title)``."""
-    articles = find_articles(titles, graph.pages.df, pivot)
+    articles = graph.ws.save(find_articles(titles, graph.pages.df, pivot), "articles")
     return graph.ws.save(homologous(articles, graph.cross.repaired), "scope")
 
 
@@ -38,9 +42,11 @@ def whole_scope(graph: LinkGraph) -> Stored:
     )
 
 
-def _recommend(graph: LinkGraph, scope: Stored, nets: Nets) -> Recommendations:
+def _recommend(
+    graph: LinkGraph, scope: Stored, nets: Nets, single: bool = False
+) -> Recommendations:
     found = candidates(graph.ws, scope, nets.table, graph.edges, graph.cross.repaired)
-    return Recommendations(graph, nets, found)
+    return Recommendations(graph, nets, found, single)
 
 
 def recommend(graph: LinkGraph, titles: DataFrame, step: int, pivot: str = "en") -> Recommendations:
@@ -52,7 +58,13 @@ def recommend(graph: LinkGraph, titles: DataFrame, step: int, pivot: str = "en")
 
 def recommend_everywhere(graph: LinkGraph, step: int) -> Recommendations:
     """Links recommended to any page by any of its counterparts."""
-    return _recommend(graph, whole_scope(graph), Nets.of(graph, step))
+    return _recommend(graph, whole_scope(graph), Nets.of(graph, step), single=True)
+
+
+def resume(graph: LinkGraph, found: Stored, step: int) -> Recommendations:
+    """Recommendations read back from a table, ready for ranking."""
+    egos = graph.ws.save(found.df.select(F.col("from").alias("ego")).distinct(), "egos")
+    return Recommendations(graph, Nets.of(graph, step, egos), found)
 
 
 def rank(recommended: Recommendations, centrality: str) -> Stored:
@@ -63,7 +75,7 @@ def rank(recommended: Recommendations, centrality: str) -> Stored:
     """
     graph, found = recommended.graph, recommended.found
     ws = graph.ws
-    scope = ws.save(found.df.select("query_id", F.col("to").alias("ego")).distinct(), "targets")
+    scope = found.view(found.df.select("query_id", F.col("to").alias("ego")).distinct())
     nets = recommended.nets.extended(scope.df.select("ego").distinct())
     alive = reachable(scope, nets.table, graph.edges, graph.cross.repaired)
     rankable = ws.save(
@@ -76,9 +88,10 @@ def rank(recommended: Recommendations, centrality: str) -> Stored:
         ),
         "rankable",
     )
-    pairs = ws.save(rankable.df.select("from", "to").distinct(), "frompairs")
-    ends = pairs.df.select(F.explode(F.array("from", "to")).alias("ego")).distinct()
-    weights = vectors(ws, nets.restricted(ends), graph.edges, centrality)
+    pairs = rankable.view(rankable.df.select("from", "to"))
+    if not recommended.single:
+        pairs = ws.save(pairs.df.distinct(), "frompairs")
+    weights = vectors(ws, nets.table, graph.edges, centrality)
     scores = pair_similarity(ws, pairs, weights, unit=centrality in UNIT_WEIGHTS)
     ranked = rankable.df.join(scores, ["from", "to"]).select("query_id", "from", "to", "score")
     placed = rankable.df.select("query_id", "from").distinct()
@@ -131,8 +144,7 @@ def relate(
         both.select("pair_id", "from", "fromTitle", "to", "toTitle", "lang"), "both"
     )
     distinct = ws.save(both.df.select("from", "to").distinct(), "frompairs")
-    ends = distinct.df.select(F.explode(F.array("from", "to")).alias("ego")).distinct()
-    weights = vectors(ws, nets.restricted(ends), graph.edges, centrality)
+    weights = vectors(ws, nets.table, graph.edges, centrality)
     scores = pair_similarity(ws, distinct, weights, unit=centrality in UNIT_WEIGHTS)
     return (
         both.df.join(scores, ["from", "to"])

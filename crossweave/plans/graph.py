@@ -78,8 +78,3 @@ class Nets:
         more = ego_net(ws, self.graph.edges, self.step, missing)
         table = Stored(self.table.df.unionByName(more.df))
         return Nets(self.graph, self.step, table, Stored(self.egos.df.unionByName(missing.df)))
-
-    def restricted(self, egos: DataFrame) -> Stored:
-        """The neighbourhoods of ``egos(ego)`` alone, written."""
-        kept = hot_join(self.table.df, egos, "ego", "left_semi", left_rows=self.table.rows)
-        return self.graph.ws.save(kept.select("ego", "member"), "nets")
