@@ -63,7 +63,8 @@ class Graphs:
         return len(self.group)
 
     def into(self, values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return np.bincount(ends, weights=values, minlength=self.size)
+        # Without any values numpy counts in integers.
+        return np.bincount(ends, weights=values, minlength=self.size).astype(float)
 
 
 def _page_rank(g: Graphs) -> np.ndarray:
