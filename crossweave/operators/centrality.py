@@ -25,7 +25,7 @@ TOLERANCE = 0.01
 HUB_ROUNDS = 10
 
 # A neighbourhood with more rows (members and links) is solved by joins.
-LOCAL_ROWS = 1_000_000
+LOCAL_ROWS = 500_000
 # Rows of neighbourhoods a task holds at a time, on average.
 GROUP_ROWS = 200_000
 
