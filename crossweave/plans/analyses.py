@@ -19,13 +19,14 @@ from crossweave.workspace import Stored
 class Recommendations:
     """``found(query_id, from, to)`` and the neighbourhoods it came from.
 
-    ``single`` says there is just one query, so that its pairs are distinct.
+    ``by_title`` says that each query's pages are the counterparts of one page, and so
+    at most one per language.
     """
 
     graph: LinkGraph
     nets: Nets
     found: Stored
-    single: bool = False
+    by_title: bool = True
 
 
 def title_scope(graph: LinkGraph, titles: DataFrame, pivot: str) -> Stored:
@@ -43,10 +44,10 @@ def whole_scope(graph: LinkGraph) -> Stored:
 
 
 def _recommend(
-    graph: LinkGraph, scope: Stored, nets: Nets, single: bool = False
+    graph: LinkGraph, scope: Stored, nets: Nets, by_title: bool = True
 ) -> Recommendations:
     found = candidates(graph.ws, scope, nets.table, graph.edges, graph.cross.repaired)
-    return Recommendations(graph, nets, found, single)
+    return Recommendations(graph, nets, found, by_title)
 
 
 def recommend(graph: LinkGraph, titles: DataFrame, step: int, pivot: str = "en") -> Recommendations:
@@ -58,7 +59,7 @@ def recommend(graph: LinkGraph, titles: DataFrame, step: int, pivot: str = "en")
 
 def recommend_everywhere(graph: LinkGraph, step: int) -> Recommendations:
     """Links recommended to any page by any of its counterparts."""
-    return _recommend(graph, whole_scope(graph), Nets.of(graph, step), single=True)
+    return _recommend(graph, whole_scope(graph), Nets.of(graph, step), by_title=False)
 
 
 def resume(graph: LinkGraph, found: Stored, step: int) -> Recommendations:
@@ -75,7 +76,9 @@ def rank(recommended: Recommendations, centrality: str) -> Stored:
     """
     graph, found = recommended.graph, recommended.found
     ws = graph.ws
-    scope = found.view(found.df.select("query_id", F.col("to").alias("ego")).distinct())
+    targets = found.df.select("query_id", F.col("to").alias("ego"))
+    # One receiver per language means that a query has each target once.
+    scope = found.view(targets if recommended.by_title else targets.distinct())
     nets = recommended.nets.extended(scope.df.select("ego").distinct())
     alive = reachable(scope, nets.table, graph.edges, graph.cross.repaired)
     rankable = ws.save(
@@ -88,12 +91,10 @@ def rank(recommended: Recommendations, centrality: str) -> Stored:
         ),
         "rankable",
     )
-    pairs = rankable.view(rankable.df.select("from", "to"))
-    if not recommended.single:
-        pairs = ws.save(pairs.df.distinct(), "frompairs")
     weights = vectors(ws, nets.table, graph.edges, centrality)
-    scores = pair_similarity(ws, pairs, weights, unit=centrality in UNIT_WEIGHTS)
-    ranked = rankable.df.join(scores, ["from", "to"]).select("query_id", "from", "to", "score")
+    ranked = pair_similarity(
+        ws, rankable, weights, ["query_id", "from", "to"], unit=centrality in UNIT_WEIGHTS
+    )
     placed = rankable.df.select("query_id", "from").distinct()
     unplaced = hot_join(
         found.df, placed, ["query_id", "from"], "left_anti", left_rows=found.rows
@@ -143,11 +144,10 @@ def relate(
     both = ws.save(
         both.select("pair_id", "from", "fromTitle", "to", "toTitle", "lang"), "both"
     )
-    distinct = ws.save(both.df.select("from", "to").distinct(), "frompairs")
     weights = vectors(ws, nets.table, graph.edges, centrality)
-    scores = pair_similarity(ws, distinct, weights, unit=centrality in UNIT_WEIGHTS)
-    return (
-        both.df.join(scores, ["from", "to"])
-        .select("pair_id", "from", "fromTitle", "to", "toTitle", "lang", F.col("score").alias("jaccard"))
-        .orderBy("pair_id", "lang", "from", "to")
+    scored = pair_similarity(
+        ws, both, weights, ["pair_id", "from", "to"], unit=centrality in UNIT_WEIGHTS
     )
+    return scored.select(
+        "pair_id", "from", "fromTitle", "to", "toTitle", "lang", F.col("score").alias("jaccard")
+    ).orderBy("pair_id", "lang", "from", "to")

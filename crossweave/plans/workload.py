@@ -214,7 +214,8 @@ def anomalies(c: Corpus, ws: Workspace) -> DataFrame:
 def anomaly_report(c: Corpus, ws: Workspace) -> DataFrame:
     cross = c.cross(ws)
     found = ws.save(_anomalies(c, ws, cross), "anomalies")
-    return crossnet.anomaly_report(found, graphs.universe_pages(c.pages, cross))
+    pages = ws.save(graphs.universe_pages(c.pages, cross), "universe")
+    return crossnet.anomaly_report(found, pages.df)
 
 
 @query
