@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from functools import cached_property
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -22,17 +22,20 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 @dataclass
 class Stored:
-    """A written table with its row count (read from the file footers)."""
+    """A written table with its row count, taken while writing or from the file footers."""
 
     df: DataFrame
     path: str | None = None
     parent: "Stored | None" = field(default=None, repr=False)
+    observed: Observation | None = field(default=None, repr=False)
 
     @cached_property
     def rows(self) -> int:
         """Row count; for a view of another table, that table's count as a bound."""
         if self.parent is not None:
             return self.parent.rows
+        if self.observed is not None:
+            return self.observed.get["rows"]
         return self.df.count()
 
     def view(self, df: DataFrame) -> "Stored":
@@ -67,8 +70,10 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> Stored:
         self._count += 1
         path = f"{self.root}/{self._count:03d}-{name}"
-        df.write.parquet(path)
-        return Stored(self.spark.read.schema(df.schema).parquet(path), path)
+        observed = Observation()
+        df.observe(observed, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        return Stored(written, path, observed=observed)
 
     def close(self) -> None:
         jvm = self.spark.sparkContext._jvm
