@@ -99,7 +99,8 @@ def rank(recommended: Recommendations, centrality: str) -> Stored:
     unplaced = hot_join(
         found.df, placed, ["query_id", "from"], "left_anti", left_rows=found.rows
     ).select("query_id", "from", "to", F.lit(0.0).alias("score"))
-    return ws.save(ranked.unionByName(unplaced), "ranked")
+    everything = ranked.unionByName(unplaced)
+    return ws.save(everything.select("query_id", "from", "to", "score"), "ranked")
 
 
 def relate(

@@ -60,12 +60,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """One run's intermediate tables; ``close`` deletes them."""
+    """One run's intermediate tables; deleted by ``close``, or else when the application ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/run-{uuid4().hex}"
         self._count = 0
+        path, files = self._hadoop()
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _hadoop(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str) -> Stored:
         self._count += 1
@@ -76,10 +83,8 @@ class Workspace:
         return Stored(written, path, observed=observed)
 
     def close(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path.getFileSystem(conf).delete(path, True)
+        path, files = self._hadoop()
+        files.delete(path, True)
 
     def __enter__(self) -> "Workspace":
         return self
