@@ -7,17 +7,22 @@ solved by joins over its links, spread over the cluster.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossweave.operators.skew import hot_join
 from crossweave.workspace import Stored, Workspace, has_rows
 
+# Ship the solvers with their jobs, so that workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of the measures.
 RESET = 0.15
 DAMPING = 1 - RESET

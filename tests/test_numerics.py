@@ -160,3 +160,22 @@ def test_map_functions(spark):
     assert (got.missing, got.only, got.nothing) == ([], 1, None)
     assert got.zeros == {3: 0.0, 4: 0.0}
     assert not math.isnan(got.zeros[3])
+
+
+def test_solvers_need_no_package_on_the_workers(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((measures._page_rank, measures.Graphs)))
+    code = (
+        "import pickle, numpy as np; rank, graphs = pickle.load(open('f', 'rb'));"
+        "one = np.zeros(1, int);"
+        "print(rank(graphs(one, one, one, np.ones(1))))"
+    )
+    done = subprocess.run(
+        [sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True
+    )
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.strip() == "[1.]"
