@@ -7,15 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crossweave.llm import bpe_transducer, token_counts
+from crossweave.llm import bpe_transducer, mixing, secret_scan, token_counts
 
 TOKEN_LIMIT = 2048
+#: Sources are mixed by their rows to this power, in blocks of so many documents.
+MIX_POWER = 0.5
+MIX_BLOCK = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in the mixture of sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, mixing.tempered(docs, MIX_POWER), block_rows=MIX_BLOCK)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.count_tokens(
@@ -31,7 +40,12 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op5_bpe_transducer)
+    f.__name__: f
+    for f in (op1_mixing, op2_token_counts, op5_bpe_transducer, op10_secret_scan)
 }
 SQL: dict[str, str] = {}
