@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 import regex
@@ -31,6 +32,8 @@ KEPT_STATES = 150_000
 KEPT_PAIRS = 300_000
 KEPT_PIECES = 600_000
 KEPT_LENGTH = 64
+# Tokens per step of a streaming decoder.
+DECODED_AT_ONCE = 2048
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -48,6 +51,23 @@ class State:
         self.on: dict[int, tuple[tuple[int, ...], State]] = {}
 
 
+class Pieces(dict):
+    """Packed tokens of pieces met before; a new piece goes through the transducer."""
+
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.machine = machine
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.machine.packed
+        ids = b"".join([packed[i] for i in self.machine.piece(piece.encode("utf-8"))])
+        if len(piece) <= KEPT_LENGTH:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Transducer:
     """Encodes pieces of text under one rank file."""
 
@@ -72,7 +92,7 @@ class Transducer:
                 node = found
             self.token[node] = token
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces(self)
         self._anew()
 
     def _anew(self) -> None:
@@ -158,17 +178,7 @@ class Transducer:
         """Tokens of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        known, packed, out = self.known, self.packed, []
-        for piece in self.pieces.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = b"".join([packed[i] for i in self.piece(piece.encode("utf-8"))])
-                if len(piece) <= KEPT_LENGTH:
-                    if len(known) >= KEPT_PIECES:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, self.pieces.findall(text)))
 
     def encode(self, text: str | None) -> list[int]:
         return list(memoryview(self.encode_packed(text)).cast("I"))
@@ -187,59 +197,34 @@ UTF8_FORMS = (
     (0xF1, 0xF3, 3, 0x80, 0xBF),
     (0xF4, 0xF4, 3, 0x80, 0x8F),
 )
-REPLACEMENT = "�"
 
 
 class Utf8Machine:
-    """Incremental UTF-8: a state is the bytes of an unfinished character.
+    """Incremental UTF-8: a state is the bytes of an unfinished character, at most three.
 
-    ``feed`` gives the characters that are complete after some bytes; what can't
-    be the start of a character becomes one replacement character, as Python's own
-    decoder has it.  Moves over whole tokens are kept, so a token costs one look-up.
+    ``feed`` gives the characters that are complete after some more bytes.  What can't be
+    the start of a character becomes a replacement character, as Python's own decoder has it.
     """
 
     def __init__(self):
         self.form = {b: f for f in UTF8_FORMS for b in range(f[0], f[1] + 1)}
-        self.moves: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
 
-    def feed(self, state: bytes, data: bytes) -> tuple[str, bytes]:
-        move = self.moves.get((state, data))
-        if move is None:
-            move = self._feed(state, data)
-            if len(self.moves) >= KEPT_PAIRS:
-                self.moves.clear()
-            self.moves[state, data] = move
-        return move
-
-    def _feed(self, state: bytes, data: bytes) -> tuple[str, bytes]:
-        out: list[str] = []
-        for byte in data:
-            if state:
-                form = self.form[state[0]]
-                low, high = form[3:] if len(state) == 1 else (0x80, 0xBF)
-                if low <= byte <= high:
-                    state += bytes([byte])
-                    if len(state) == form[2] + 1:
-                        out.append(self._character(state))
-                        state = b""
-                    continue
-                out.append(REPLACEMENT)
-                state = b""
+    def unfinished(self, data: bytes) -> int:
+        """How many of the last bytes are the start of a character."""
+        for size in range(1, min(3, len(data)) + 1):
+            byte = data[-size]
+            if 0x80 <= byte <= 0xBF:
+                continue  # goes on from a byte before
             form = self.form.get(byte)
-            if form is None:
-                out.append(REPLACEMENT)
-            elif form[2] == 0:
-                out.append(chr(byte))
-            else:
-                state = bytes([byte])
-        return "".join(out), state
-
-    @staticmethod
-    def _character(data: bytes) -> str:
-        code = data[0] & (0x7F >> len(data))
-        for byte in data[1:]:
-            code = code << 6 | byte & 0x3F
-        return chr(code)
+            if form is None or size > form[2]:
+                return 0
+            return size if size == 1 or form[3] <= data[1 - size] <= form[4] else 0
+        return 0
+
+    def feed(self, state: bytes, data: bytes) -> tuple[str, bytes]:
+        data = state + data
+        end = len(data) - self.unfinished(data)
+        return data[:end].decode("utf-8", "replace"), data[end:]
 
 
 class Decoder:
@@ -250,13 +235,14 @@ class Decoder:
         self.machine = Utf8Machine()
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
-        state, feed, bytes_of = b"", self.machine.feed, self.bytes_of
-        for i in ids:
-            text, state = feed(state, bytes_of[i])
+        state, bytes_of = b"", self.bytes_of
+        ids = iter(ids)
+        while part := [bytes_of[i] for i in islice(ids, DECODED_AT_ONCE)]:
+            text, state = self.machine.feed(state, b"".join(part))
             if text:
                 yield text
         if state:
-            yield REPLACEMENT
+            yield state.decode("utf-8", "replace")
 
     def text(self, ids: Iterable[int]) -> str:
         return "".join(self.stream(ids))
