@@ -28,10 +28,11 @@ from crossweave.llm.worker import by_value, columns_named, kept
 by_value(__name__)
 
 # Bounds of what a worker keeps; each table starts anew when it is full.
-KEPT_STATES = 150_000
+KEPT_STATES = 200_000
 KEPT_PAIRS = 300_000
-KEPT_PIECES = 600_000
+KEPT_PIECES = 400_000
 KEPT_LENGTH = 64
+NO_RANK = 1 << 60
 # Tokens per step of a streaming decoder.
 DECODED_AT_ONCE = 2048
 
@@ -52,17 +53,24 @@ class State:
 
 
 class Pieces(dict):
-    """Packed tokens of pieces met before; a new piece goes through the transducer."""
+    """Packed tokens of pieces met before; a new piece goes through the transducer.
+
+    When full, the table becomes the elder one and a new one begins; pieces still in use come back.
+    """
 
     def __init__(self, machine: Transducer):
         super().__init__()
         self.machine = machine
+        self.elder: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = self.machine.packed
-        ids = b"".join([packed[i] for i in self.machine.piece(piece.encode("utf-8"))])
+        ids = self.elder.get(piece)
+        if ids is None:
+            packed = self.machine.packed
+            ids = b"".join([packed[i] for i in self.machine.piece(piece.encode("utf-8"))])
         if len(piece) <= KEPT_LENGTH:
             if len(self) >= KEPT_PIECES:
+                self.elder = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -76,22 +84,23 @@ class Transducer:
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
         self.pieces = regex.compile(pattern)
-        # The tree of token bytes: a node is a dict of children and the token ending there.
-        self.children: list[dict[int, int]] = [{}]
+        # The tree of token bytes: (node << 8 | byte) -> node, the token that ends at a node, and
+        # whether any goes on from it.
+        self.child: dict[int, int] = {}
         self.token: list[int] = [-1]
+        self.goes_on = bytearray(1)
         for data, token in self.ranks.items():
             if self._merged(data) != [data]:
                 continue  # no merges lead to it: only a piece equal to it becomes this token
             node = 0
             for byte in data:
-                found = self.children[node].get(byte)
-                if found is None:
-                    found = self.children[node][byte] = len(self.children)
-                    self.children.append({})
+                self.goes_on[node] = 1
+                node = self.child.setdefault(node << 8 | byte, len(self.token))
+                if node == len(self.token):
                     self.token.append(-1)
-                node = found
+                    self.goes_on.append(0)
             self.token[node] = token
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known = Pieces(self)
         self._anew()
 
@@ -109,48 +118,59 @@ class Transducer:
     def _merged(self, data: bytes) -> list[bytes]:
         """Merge by rank, leftmost first: the definition, used on one token or two."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min(
-                (self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)
-            )
-            if rank == 1 << 60:
+        rank = self.ranks.get
+        ranks = [rank(data[i : i + 2], NO_RANK) for i in range(len(data) - 1)]
+        while ranks:
+            least = min(ranks)
+            if least == NO_RANK:
                 break
+            i = ranks.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], NO_RANK)
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], NO_RANK)
         return parts
 
     def _neighbours(self, left: int, right: int) -> bool:
-        fits = self.pairs.get((left, right))
+        key = left << 32 | right
+        fits = self.pairs.get(key)
         if fits is None:
             a, b = self.bytes_of[left], self.bytes_of[right]
             fits = self._merged(a + b) == [a, b]
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            self.pairs[left, right] = fits
+            self.pairs[key] = fits
         return fits
 
     def _move(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
+        child, goes_on, ends = self.child, self.goes_on, self.token
         grown, closed = [], None
         for node, last, pending in state.guesses:
-            node = self.children[node].get(byte)
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            if self.children[node]:
+            if goes_on[node]:
                 grown.append((node, last, pending))
-            token = self.token[node]
-            if token >= 0 and closed is None and (last < 0 or self._neighbours(last, token)):
-                closed = (0, token, (*pending, token))
-        grown.append(closed)
-        # Emit what all guesses agree on.
-        first = grown[0][2]
-        agreed = 0
-        while agreed < len(first) and all(
-            len(g[2]) > agreed and g[2][agreed] == first[agreed] for g in grown
-        ):
-            agreed += 1
-        emitted = first[:agreed]
-        after = self._state(tuple((n, last, p[agreed:]) for n, last, p in grown))
-        state.on[byte] = emitted, after
-        return emitted, after
+            if closed is None:
+                token = ends[node]
+                if token >= 0 and (last < 0 or self._neighbours(last, token)):
+                    closed = (0, token, (*pending, token))
+        if grown:
+            # Emit what all guesses agree on.
+            grown.append(closed)
+            emitted = closed[2]
+            for _, _, pending in grown:
+                while emitted != pending[: len(emitted)]:
+                    emitted = emitted[:-1]
+            done = len(emitted)
+            if done:
+                grown = [(node, last, pending[done:]) for node, last, pending in grown]
+        else:
+            emitted, grown = closed[2], [(0, closed[1], ())]
+        state.on[byte] = move = emitted, self._state(tuple(grown))
+        return move
 
     def piece(self, data: bytes) -> list[int]:
         """Tokens of one piece."""
