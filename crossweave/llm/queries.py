@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crossweave.llm import bpe_transducer, mixing, secret_scan, token_counts
+from crossweave.llm import bpe_transducer, mixing, secret_scan, token_counts, topk_search
 
 TOKEN_LIMIT = 2048
 #: Sources are mixed by their rows to this power, in blocks of so many documents.
@@ -32,6 +32,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.encode_digests(
         table(spark, sf_dir, "documents"),
@@ -46,6 +50,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_token_counts, op5_bpe_transducer, op10_secret_scan)
+    for f in (
+        op1_mixing,
+        op2_token_counts,
+        op4_topk_search,
+        op5_bpe_transducer,
+        op10_secret_scan,
+    )
 }
 SQL: dict[str, str] = {}
