@@ -7,12 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crossweave.llm import bpe_transducer, mixing, secret_scan, token_counts, topk_search
+from crossweave.llm import (
+    bpe_transducer,
+    language_id,
+    mixing,
+    secret_scan,
+    simhash,
+    token_counts,
+    topk_search,
+)
 
 TOKEN_LIMIT = 2048
 #: Sources are mixed by their rows to this power, in blocks of so many documents.
 MIX_POWER = 0.5
 MIX_BLOCK = 64
+#: Fingerprints of every so many-th document are searched for, within so many bits.
+SEARCHED = 100
+NEAR_BITS = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +55,16 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.with_near_counts(docs, every=SEARCHED, radius=NEAR_BITS)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents"), parts=4, part=2)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -55,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_token_counts,
         op4_topk_search,
         op5_bpe_transducer,
+        op7_simhash,
+        op8_language_id,
         op10_secret_scan,
     )
 }
