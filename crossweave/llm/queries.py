@@ -11,6 +11,7 @@ from crossweave.llm import (
     bpe_transducer,
     language_id,
     mixing,
+    quality_mil,
     secret_scan,
     simhash,
     token_counts,
@@ -24,6 +25,8 @@ MIX_BLOCK = 64
 #: Fingerprints of every so many-th document are searched for, within so many bits.
 SEARCHED = 100
 NEAR_BITS = 3
+#: A text is good from this score on.
+GOOD = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +68,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.score_quality(
+        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "labels"),
+        parts=5,
+        part=0,
+        threshold=GOOD,
+    )
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -78,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_bpe_transducer,
         op7_simhash,
         op8_language_id,
+        op9_quality_mil,
         op10_secret_scan,
     )
 }
