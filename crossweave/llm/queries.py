@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crossweave.llm import (
     bpe_transducer,
+    html_text,
     language_id,
     mixing,
     quality_mil,
@@ -58,6 +59,10 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.with_near_counts(docs, every=SEARCHED, radius=NEAR_BITS)
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_token_counts,
         op4_topk_search,
         op5_bpe_transducer,
+        op6_html_text,
         op7_simhash,
         op8_language_id,
         op9_quality_mil,
