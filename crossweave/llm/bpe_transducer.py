@@ -18,6 +18,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -283,7 +284,8 @@ def encode(text: Column, file: str, pattern: str) -> Column:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine, _ = _coder(file, pattern)
         for texts in batches:
-            yield pd.Series([machine.encode(t) for t in texts], dtype=object)
+            packed = [np.frombuffer(machine.encode_packed(t), dtype="<i4") for t in texts]
+            yield pd.Series(packed, dtype=object)
 
     return ids(text)
 

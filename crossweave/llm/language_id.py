@@ -316,6 +316,27 @@ def predicted(text: Column, network: Network | None) -> Column:
     return read(lettered)
 
 
+def learned(docs: DataFrame, parts: int, part: int) -> Network | None:
+    """A network from the rows of ``docs(doc_id, text, lang)`` that have a language and are not held out."""
+    columns_named(docs, "doc_id", "text", "lang")
+    labelled = docs.where(
+        F.col("lang").isNotNull()
+        & F.col("doc_id").isNotNull()
+        & ~held_out(F.col("doc_id"), parts, part)
+        & F.col("text").rlike(r"\p{L}")
+    ).select("doc_id", "text", "lang")
+    return train(labelled_windows(labelled))
+
+
+def in_known_language(docs: DataFrame, *, parts: int, part: int, least: float) -> DataFrame:
+    """The rows of ``docs`` whose text is in a language learned from them, with a score of at least
+    ``least``; null texts and texts without a letter go.  All columns stay as they are."""
+    network = learned(docs, parts, part)
+    known = docs.withColumn("_language", predicted(F.col("text"), network))
+    sure = (F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least)
+    return known.where(sure).select(*[f"`{c}`" for c in docs.columns])
+
+
 def identify(docs: DataFrame, *, parts: int, part: int) -> DataFrame:
     """``docs`` with ``held_out``, ``lang_pred`` and ``score``, learned from its own labelled rows
     that are not held out: those with text and lang whose crc32(doc_id as text) modulo
@@ -325,12 +346,8 @@ def identify(docs: DataFrame, *, parts: int, part: int) -> DataFrame:
     nothing to learn from, get ``und`` and 0.  All rows and other columns stay; columns of these
     three names are replaced.  An empty table gives an empty result.
     """
-    columns_named(docs, "doc_id", "text", "lang")
+    network = learned(docs, parts, part)
     out = held_out(F.col("doc_id"), parts, part)
-    labelled = docs.where(
-        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~out & F.col("text").rlike(r"\p{L}")
-    ).select("doc_id", "text", "lang")
-    network = train(labelled_windows(labelled))
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     return docs.select(
         *own, out.alias("held_out"), predicted(F.col("text"), network).alias("_read")

@@ -70,8 +70,8 @@ def _ranked(docs: DataFrame, ws: Workspace, seed: int) -> tuple[DataFrame, DataF
 
 
 def _shares(sources: DataFrame, weights: DataFrame, block_rows: int, period: int) -> DataFrame:
-    """One row: ``all``, the sources as (src, blocks, short, share), sorted; short is what the last
-    block lacks, share the whole slots per period."""
+    """One row: ``all``, the sources as (src, blocks, short, share), sorted, and ``stretches``, the periods
+    in which a stretch may begin.  Short is what the last block lacks, share the whole slots per period."""
     asked = weights.select(_source_key().alias("_src"), F.col("weight").cast("double"))
     asked = asked.groupBy("_src").agg(F.max("weight").alias("weight"))
     weight = F.when(
@@ -85,6 +85,12 @@ def _shares(sources: DataFrame, weights: DataFrame, block_rows: int, period: int
         (blocks * block_rows - F.col("rows")).alias("short"),
         weight.alias("weight"),
     )
+    ends = F.transform("all", lambda s: F.floor(s["blocks"] / s["share"]).cast("long"))
+    starts = F.array_sort(
+        F.array_distinct(
+            F.concat(F.array(F.lit(0).cast("long")), ends, F.transform(ends, lambda e: e + 1))
+        )
+    )
     return (
         sources.join(asked, "_src", "left")
         .groupBy()
@@ -109,19 +115,14 @@ def _shares(sources: DataFrame, weights: DataFrame, block_rows: int, period: int
                 ),
             ).alias("all")
         )
+        .select("all", starts.alias("stretches"))
     )
 
 
 def _turns(shares: DataFrame) -> DataFrame:
     """(src, stretch, k, turn, slots, base): the slot ``turn`` of a source's k-th block in each
     period of a stretch; a stretch is named by its first period, ``base`` slots lie before it."""
-    ends = F.transform("all", lambda s: F.floor(s["blocks"] / s["share"]).cast("long"))
-    starts = F.array_sort(
-        F.array_distinct(
-            F.concat(F.array(F.lit(0).cast("long")), ends, F.transform(ends, lambda e: e + 1))
-        )
-    )
-    stretches = shares.select("all", F.explode(starts).alias("stretch")).select(
+    stretches = shares.select("all", F.explode("stretches").alias("stretch")).select(
         "stretch",
         F.aggregate(
             "all",
@@ -240,11 +241,10 @@ def mix(
     ranked, sources = _ranked(docs.select(*[f"`{c}`" for c in own]), ws, seed)
     shares = ws.save(_shares(sources, weights, block_rows, period), "shares").df
     turns = ws.save(_turns(shares), "turns").df
-    starts = turns.groupBy().agg(F.array_sort(F.collect_set("stretch")).alias("stretches"))
-    listed = shares.select(F.explode("all").alias("one")).select("one.*")
-    # At most MOST_SOURCES rows: each gets the stretches, then the short blocks of all.
-    known = listed.select(F.lit(1).alias("one"), F.col("src").alias("_src"), "share", "blocks", "short")
-    known = known.join(starts.withColumn("one", F.lit(1)), "one").drop("one")
+    known = shares.select(F.explode("all").alias("one"), "stretches").select(
+        F.col("one.src").alias("_src"), "one.share", "one.blocks", "one.short", "stretches"
+    )
+    # At most MOST_SOURCES rows: the slots of the last blocks, each row with those of all.
     last = _slotted(
         known.select("_src", (F.col("blocks") - 1).alias("_block"), F.col("short").alias("_short")),
         known.select("_src", "share", "stretches"),

@@ -12,6 +12,7 @@ from crossweave.llm import (
     html_text,
     language_id,
     mixing,
+    ngram_join,
     quality_mil,
     secret_scan,
     simhash,
@@ -47,6 +48,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), percent=85, words=4)
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_mixing,
         op2_token_counts,
+        op3_ngram_join,
         op4_topk_search,
         op5_bpe_transducer,
         op6_html_text,
