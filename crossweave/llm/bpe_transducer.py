@@ -304,6 +304,30 @@ def decode(ids: Column, file: str, pattern: str) -> Column:
     return text(ids)
 
 
+def round_trip(text: Column, file: str, pattern: str) -> Column:
+    """(n_tokens, ids, round_trip): the token ids of each text, and whether they decode to it again;
+    null counts as empty."""
+
+    @F.pandas_udf("n_tokens long, ids array<int>, round_trip boolean")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        machine, decoder = _coder(file, pattern)
+        for texts in batches:
+            packed = [machine.encode_packed(t) for t in texts]
+            same = [
+                decoder.text(memoryview(p).cast("I")) == (t or "")
+                for p, t in zip(packed, texts, strict=True)
+            ]
+            yield pd.DataFrame(
+                {
+                    "n_tokens": [len(p) // 4 for p in packed],
+                    "ids": pd.Series([np.frombuffer(p, dtype="<i4") for p in packed], dtype=object),
+                    "round_trip": same,
+                }
+            )
+
+    return both(text)
+
+
 def encode_digests(docs: DataFrame, file: str, pattern: str) -> DataFrame:
     """Encode every text of ``docs(doc_id, text)``, decode the ids, and give the digests of both:
     (doc_id, n_tokens, ids_sha256, decoded_sha256).
