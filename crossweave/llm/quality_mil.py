@@ -52,22 +52,28 @@ def features(passages: list[bytes]) -> np.ndarray:
     shares = np.bincount(owner * 256 + data, minlength=count * 256).reshape(count, 256) / size
     out = np.zeros((count, FEATURES), dtype=np.float32)
     out[:, :256] = np.sqrt(shares)
-    if len(data) < 8:
+    if not len(data):
         return out
+    # A passage's features are its own: nothing is told from its neighbours.
+    new = np.concatenate([[True], owner[1:] != owner[:-1]])
     letter = (data | 0x20) - 0x61 < 26
     letter |= data >= 0x80
-    space = data <= 0x20
-    starts = letter & np.concatenate([[True], ~letter[:-1]])
-    mixed = letter[1:] & ~letter[:-1] & ~space[:-1]
+    before = np.concatenate([[0x20], data[:-1]]).astype(np.uint8)
+    ended = new | ~np.concatenate([[False], letter[:-1]])
+    starts = letter & ended
+    mixed = starts & ~new & (before > 0x20)
 
     def per(mask: np.ndarray) -> np.ndarray:
-        return np.bincount(owner[: len(mask)], weights=mask, minlength=count)
+        return np.bincount(owner, weights=mask, minlength=count)
 
     words = per(starts)
     upper = per((data >= 0x41) & (data <= 0x5A))
     out[:, 256] = np.minimum(per(letter) / np.maximum(words, 1) / 10, 2)
     out[:, 257] = upper / np.maximum(words, 1)
     out[:, 258] = per(mixed) / np.maximum(words, 1)
+    out[:, 261] = np.log1p(lengths) / 6
+    if len(data) < 4:
+        return out
     # Different strings of four bytes, by the slots they fill.
     wide = data.astype(np.uint32)
     four = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
@@ -79,7 +85,6 @@ def features(passages: list[bytes]) -> np.ndarray:
     strings = np.maximum(lengths - 3, 1)
     out[:, 259] = (filled > 0).sum(axis=1) / np.minimum(strings, SLOTS)
     out[:, 260] = filled.max(axis=1) / strings
-    out[:, 261] = np.log1p(lengths) / 6
     return out
 
 
