@@ -283,11 +283,13 @@ def tempered(docs: DataFrame, power: float) -> DataFrame:
 
 def in_order(docs: DataFrame, weights: DataFrame, *, block_rows: int, seed: int = 0) -> DataFrame:
     """``docs`` in the mixture's order: partition by partition, sorted within; all columns and rows stay."""
-    mixed = mix(docs, weights, block_rows=block_rows, seed=seed)
+    # Whole rows, so that the mixture's columns can't replace any of theirs.
+    whole = docs.select("doc_id", "source", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    mixed = mix(whole, weights, block_rows=block_rows, seed=seed)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.count() // parts + 1
     return (
         mixed.repartitionById(parts, F.expr(f"cast(position div {size} as int)"))
         .sortWithinPartitions("position")
-        .select(*[f"`{c}`" for c in docs.columns])
+        .select("row.*")
     )
