@@ -102,16 +102,15 @@ def summarise_cross_net(ws: Workspace, links: DataFrame) -> CrossNet:
 
 def anomalies(net: CrossNet, links: DataFrame, *, link_rows: int) -> DataFrame:
     """``(from, lang, to)``: the members of every ambiguous entry."""
+    # Rows repeat once per link of their page; they are made distinct where they are read.
     members = hot_join(
-        counterpart_rows(links),
+        counterpart_rows(links).select("v", "lang", "member").distinct(),
         net.ambiguous.df.select("v", "lang"),
         ["v", "lang"],
         "left_semi",
         left_rows=4 * link_rows,
     )
-    return members.select(
-        F.col("v").alias("from"), "lang", F.col("member").alias("to")
-    ).distinct()
+    return members.select(F.col("v").alias("from"), "lang", F.col("member").alias("to"))
 
 
 def anomaly_report(found: Stored, pages: DataFrame) -> DataFrame:

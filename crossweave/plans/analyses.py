@@ -92,9 +92,7 @@ def rank(recommended: Recommendations, centrality: str) -> Stored:
         "rankable",
     )
     weights = vectors(ws, nets.table, graph.edges, centrality)
-    ranked = pair_similarity(
-        ws, rankable, weights, ["query_id", "from", "to"], unit=centrality in UNIT_WEIGHTS
-    )
+    ranked = pair_similarity(ws, rankable, weights, unit=centrality in UNIT_WEIGHTS)
     placed = rankable.df.select("query_id", "from").distinct()
     unplaced = hot_join(
         found.df, placed, ["query_id", "from"], "left_anti", left_rows=found.rows
@@ -112,7 +110,7 @@ def relate(
     own side's other counterparts.
     """
     ws = graph.ws
-    asked = ws.save(pairs.select("pair_id", "title_a", "title_b"), "asked")
+    asked = ws.save(pairs.select("pair_id", "title_a", "title_b").distinct(), "asked")
     titles = asked.df.select(F.explode(F.array("title_a", "title_b")).alias("title")).distinct()
     scope = title_scope(graph, titles.select(F.col("title").alias("query_id"), "title"), pivot)
     nets = Nets.of(graph, step, ws.save(scope.df.select("ego").distinct(), "egos"))
@@ -146,9 +144,7 @@ def relate(
         both.select("pair_id", "from", "fromTitle", "to", "toTitle", "lang"), "both"
     )
     weights = vectors(ws, nets.table, graph.edges, centrality)
-    scored = pair_similarity(
-        ws, both, weights, ["pair_id", "from", "to"], unit=centrality in UNIT_WEIGHTS
-    )
+    scored = pair_similarity(ws, both, weights, unit=centrality in UNIT_WEIGHTS)
     return scored.select(
         "pair_id", "from", "fromTitle", "to", "toTitle", "lang", F.col("score").alias("jaccard")
     ).orderBy("pair_id", "lang", "from", "to")

@@ -18,6 +18,8 @@ from crossweave.sources.derived import LANGUAGES, PIVOT, DerivedGraph
 from crossweave.workspace import Stored, Workspace
 
 STEP = 2
+# Editions the scans select.
+SCANNED = LANGUAGES[1:4]
 
 
 class Corpus:
@@ -109,18 +111,18 @@ def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scan_pages(c: Corpus, ws: Workspace) -> DataFrame:
     everything = c.pages.df.unionByName(c.category_pages.df)
-    return tables.select_pages(everything, LANGUAGES, categories=True)
+    return tables.select_pages(everything, SCANNED, categories=True)
 
 
 @query
 def scan_links(c: Corpus, ws: Workspace) -> DataFrame:
     everything = c.links.df.unionByName(c.category_links.df)
-    return tables.select_links(everything, LANGUAGES, categories=True)
+    return tables.select_links(everything, SCANNED)
 
 
 @query
 def scan_language_links(c: Corpus, ws: Workspace) -> DataFrame:
-    return tables.select_language_links(c.language_links.df, LANGUAGES)
+    return tables.select_language_links(c.language_links.df, SCANNED)
 
 
 # Parsers
@@ -202,7 +204,9 @@ def anomalous_pages(c: Corpus, ws: Workspace) -> DataFrame:
 
 
 def _anomalies(c: Corpus, ws: Workspace, cross: crossnet.CrossNet) -> DataFrame:
-    return crossnet.anomalies(cross, c.language_links.df, link_rows=c.language_links.rows)
+    rows = c.language_links.rows
+    links = crossnet.consistent_links(c.pages, c.language_links.df, link_rows=rows, resolved=True)
+    return crossnet.anomalies(cross, links, link_rows=rows)
 
 
 @query
@@ -281,9 +285,9 @@ def _titles(graph: graphs.LinkGraph) -> DataFrame:
     return pivot.groupBy("title").agg(F.min("sid").alias("query_id"))
 
 
-def _by_title(c: Corpus, ws: Workspace, step: int = STEP) -> analyses.Recommendations:
+def _by_title(c: Corpus, ws: Workspace) -> analyses.Recommendations:
     graph = c.graph(ws)
-    return analyses.recommend(graph, _titles(graph), step, PIVOT)
+    return analyses.recommend(graph, _titles(graph), STEP, PIVOT)
 
 
 @query
@@ -298,7 +302,7 @@ def candidates_by_title(c: Corpus, ws: Workspace) -> DataFrame:
 
 @query
 def recommendation_report(c: Corpus, ws: Workspace) -> DataFrame:
-    made = _by_title(c, ws, 1)
+    made = _by_title(c, ws)
     return reports.recommendation_report(made.found, made.graph.pages.df)
 
 

@@ -12,12 +12,15 @@ BLOCKS = {
         JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "g_pages": """
         SELECT DISTINCT p * 1024 + r AS sid, p AS id,
-               'part_' || (CASE WHEN p % 10 = 1 THEN p - 1 ELSE p END) AS title,
+               'part_' || (CASE WHEN p % 10 = 1 THEN p - 1 ELSE p END)
+               || (CASE WHEN p % 7 = 3 THEN '_r' || r ELSE '' END) AS title,
                'r' || r AS lang
         FROM v""",
     "g_links": """
         SELECT a.p * 1024 + a.r AS src, b.p * 1024 + b.r AS dst, 'r' || a.r AS lang
-        FROM v a JOIN v b ON a.o = b.o AND a.n = b.n - 1""",
+        FROM v a JOIN v b ON a.o = b.o AND a.n = b.n - 1
+        UNION ALL
+        SELECT p * 1024 + r, (p + CAST(1000000000 AS BIGINT)) * 1024 + r, 'r' || r FROM v WHERE o % 11 = 0 AND n = 1""",
     "brands": """
         SELECT DISTINCT p, r, 1000000000000 + CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) AS c
         FROM v JOIN part ON p = p_partkey""",
@@ -30,15 +33,24 @@ BLOCKS = {
     "g_dump": """
         SELECT a.sid, b.lang AS tolang, a.title, a.lang
         FROM g_pages a JOIN (SELECT DISTINCT title, lang FROM g_pages) b
-          ON a.title = b.title AND a.lang <> b.lang""",
+          ON a.title = b.title AND a.lang <> b.lang
+        UNION ALL SELECT sid, other, 'lost_' || title, lang FROM g_others WHERE id % 19 = 2
+        UNION ALL SELECT sid + CAST(1000000000 AS BIGINT) * 1024, lang, title, lang FROM g_others WHERE id % 23 = 4
+        UNION ALL SELECT sid, lang, title, other FROM g_others WHERE id % 29 = 6
+        UNION ALL SELECT sid, other, 'Talk:' || title, lang FROM g_others WHERE id % 31 = 8
+        UNION ALL SELECT sid, 'r9', title, lang FROM g_others WHERE id % 37 = 1""",
+    "g_others": """
+        SELECT *, CASE WHEN lang = 'r0' THEN 'r1' ELSE 'r0' END AS other FROM g_pages""",
     "resolved": """
         SELECT d.sid AS src, p.sid AS dst, d.lang AS srclang, p.lang AS dstlang
         FROM g_dump d JOIN g_pages p ON d.title = p.title AND d.tolang = p.lang""",
+    "consistent": """
+        SELECT src, dst, srclang, dstlang FROM resolved JOIN g_pages ON src = sid AND srclang = lang""",
     "crossrows": """
-        SELECT src AS v, srclang AS v_lang, dstlang AS lang, dst AS member FROM resolved
-        UNION SELECT src, srclang, srclang, src FROM resolved
-        UNION SELECT dst, dstlang, dstlang, dst FROM resolved
-        UNION SELECT dst, dstlang, srclang, src FROM resolved""",
+        SELECT src AS v, srclang AS v_lang, dstlang AS lang, dst AS member FROM consistent
+        UNION SELECT src, srclang, srclang, src FROM consistent
+        UNION SELECT dst, dstlang, dstlang, dst FROM consistent
+        UNION SELECT dst, dstlang, srclang, src FROM consistent""",
     "crosscount": """
         SELECT v, v_lang, lang, min(member) AS member, count(*) AS k
         FROM crossrows GROUP BY v, v_lang, lang""",
@@ -60,8 +72,6 @@ BLOCKS = {
           SELECT * FROM net2
           UNION ALL SELECT ego, dst, 3 FROM net2 JOIN edges ON member = src)
         GROUP BY ego, member""",
-    "translated1": """
-        SELECT DISTINCT ego, f.lang, f.member FROM net1 JOIN fixed f ON net1.member = f.v""",
     "translated": """
         SELECT DISTINCT ego, f.lang, f.member FROM net2 JOIN fixed f ON net2.member = f.v""",
     "queries": """
@@ -76,14 +86,6 @@ BLOCKS = {
         WHERE (q, src) IN (SELECT (q, ego) FROM scope)
           AND src IN (SELECT ego FROM linking)
           AND (src, dst) NOT IN (SELECT (src, dst) FROM edges)""",
-    "cand_title1": """
-        SELECT DISTINCT q, src, dst FROM (
-          SELECT s.q, f.member AS src, t.member AS dst
-          FROM scope s JOIN fixed f ON s.ego = f.v AND f.lang <> f.v_lang
-          JOIN translated1 t ON t.ego = s.ego AND t.lang = f.lang) c
-        WHERE (q, src) IN (SELECT (q, ego) FROM scope)
-          AND src IN (SELECT ego FROM linking)
-          AND (src, dst) NOT IN (SELECT (src, dst) FROM edges)""",
     "cand_all": """
         SELECT DISTINCT 0 AS q, src, dst FROM (
           SELECT f.member AS src, t.member AS dst
@@ -222,15 +224,19 @@ def _with(body: str, extra: dict[str, str] | None = None) -> str:
     return (f"WITH {recursive}" + ",\n".join(heads) + "\n" if heads else "") + body
 
 
-FOUR = r"([0-9]+)\s+(.*?)\s+(.*?)\s+(.*?)\s?$"
-IDS = r"([0-9]+)\s+([0-9]+)\s?$"
-ID_ID = r"([0-9]+)\s+(.*?)\s+([0-9]+)\s+(.*?)\s?$"
+# The line formats.
+FOUR = r"(\d+)\s+(.*?)\s+(.*?)\s+(.*?)\s?$"
+IDS = r"(\d+)\s+(\d+)\s?$"
+ID_ID = r"(\d+)\s+(.*?)\s+(\d+)\s+(.*?)\s?$"
 
 
-def _parsed(lines: str, pattern: str, columns: str) -> str:
+def _parsed(lines: str, pattern: str, columns: str, where: str = "true") -> str:
     """Select ``columns`` over the lines, where ``gN`` stands for a group of the pattern."""
-    text = re.sub(r"\bg(\d)\b", lambda m: f"regexp_extract(line, '{pattern}', {m.group(1)})", columns)
-    return f"SELECT {text} FROM ({lines}) WHERE regexp_matches(line, '{pattern}')"
+    text, where = (
+        re.sub(r"\bg(\d)\b", lambda m: f"regexp_extract(line, '{pattern}', {m.group(1)})", part)
+        for part in (columns, where)
+    )
+    return f"SELECT {text} FROM ({lines}) WHERE regexp_matches(line, '{pattern}') AND {where}"
 
 
 def _sid(group: str, lang: str) -> str:
@@ -240,18 +246,27 @@ def _sid(group: str, lang: str) -> str:
 def _page_lines(table: str) -> str:
     return f"""
         SELECT id || (CASE id % 3 WHEN 0 THEN chr(9) WHEN 1 THEN '   ' ELSE ' ' END)
-               || title || '  false false' AS line, lang FROM {table}"""
+               || title || '  false false' AS line, lang FROM {table}
+        UNION ALL SELECT id || ' ' || title, lang FROM {table} WHERE id % 13 = 5
+        UNION ALL SELECT 'no page  here false', lang FROM {table} WHERE id % 13 = 5"""
 
 
 LINK_LINES = """
     SELECT (src // 1024) || (CASE WHEN src % 2 = 0 THEN chr(9) ELSE '   ' END) || (dst // 1024) AS line,
-           lang FROM g_links"""
+           lang FROM g_links
+    UNION ALL SELECT (src // 1024) || ' -> ' || (dst // 1024), lang FROM g_links WHERE src // 1024 % 13 = 5
+    UNION ALL SELECT CAST(src // 1024 AS VARCHAR), lang FROM g_links WHERE src // 1024 % 13 = 5"""
 CATEGORY_LINK_LINES = """
     SELECT (src // 1024) || ' page' || chr(9) || (dst // 1024) || '  category' AS line, lang
-    FROM g_categorylinks"""
+    FROM g_categorylinks
+    UNION ALL SELECT (src // 1024) || ' page' || chr(9) || 'category', lang
+    FROM g_categorylinks WHERE src // 1024 % 13 = 5"""
 LANGUAGE_LINK_LINES = """
     SELECT (sid // 1024) || chr(9) || tolang || '  ' || title || ' ' || chr(9) || lang AS line
-    FROM g_dump"""
+    FROM g_dump
+    UNION ALL SELECT (sid // 1024) || chr(9) || tolang || '  ' || title || ' ' || chr(9) || 'r9'
+    FROM g_dump WHERE sid // 1024 % 13 = 5
+    UNION ALL SELECT (sid // 1024) || chr(9) || tolang FROM g_dump WHERE sid // 1024 % 13 = 5"""
 PAGE_COLUMNS = f"{_sid('g1', 'lang')} AS sid, CAST(g1 AS BIGINT) AS id, g2 AS title, lang"
 RANKED = 'SELECT q AS query_id, src AS "from", dst AS "to", CAST(score AS FLOAT)::DOUBLE AS score FROM ranked'
 
@@ -279,13 +294,16 @@ def oracle_sql() -> dict[str, str]:
     return {
         "load_corpus": _with(counts),
         "scan_pages": _with("""
-            SELECT *, 'normalpage' AS kind FROM g_pages
-            UNION ALL SELECT *, 'categorypage' FROM g_categories"""),
+            SELECT * FROM (
+              SELECT *, 'normalpage' AS kind FROM g_pages
+              UNION ALL SELECT *, 'categorypage' FROM g_categories)
+            WHERE lang IN ('r1', 'r2', 'r3')"""),
         "scan_links": _with("""
             SELECT src AS "from", dst AS "to", lang AS "fromLang", lang AS "toLang", 'interlink' AS kind
-            FROM g_links
-            UNION ALL SELECT src, dst, lang, lang, 'categorylink' FROM g_categorylinks"""),
-        "scan_language_links": _with(resolved),
+            FROM g_links WHERE lang IN ('r1', 'r2', 'r3')"""),
+        "scan_language_links": _with(
+            f"{resolved} WHERE srclang IN ('r1', 'r2', 'r3') AND dstlang IN ('r1', 'r2', 'r3')"
+        ),
         "parse_pages": _with(_parsed(_page_lines("g_pages"), FOUR, PAGE_COLUMNS)),
         "parse_category_pages": _with(_parsed(_page_lines("g_categories"), FOUR, PAGE_COLUMNS)),
         "parse_pagelinks": _with(_parsed(
@@ -298,7 +316,8 @@ def oracle_sql() -> dict[str, str]:
                 lang AS "fromLang", lang AS "toLang" """)),
         "parse_langlinks": _with(_parsed(
             LANGUAGE_LINK_LINES, FOUR,
-            f"""{_sid('g1', 'g4')} AS sid, g2 AS "toLang", g3 AS title, g4 AS lang""")),
+            f"""{_sid('g1', 'g4')} AS sid, g2 AS "toLang", g3 AS title, g4 AS lang""",
+            "g4 IN ('r0', 'r1', 'r2', 'r3', 'r4') AND NOT contains(g3, ':')")),
         "parse_raw_langlinks": _with(_parsed(
             LANGUAGE_LINK_LINES, FOUR,
             'CAST(g1 AS BIGINT) AS sid, g2 AS "toLang", g3 AS title, g4 AS lang')),
@@ -340,7 +359,7 @@ def oracle_sql() -> dict[str, str]:
         "recommendation_report": _with("""
             SELECT q AS query_id, src AS "from", a.title AS from_title,
                    dst AS "to", b.title AS to_title, a.lang
-            FROM cand_title1 JOIN uni a ON a.sid = src JOIN uni b ON b.sid = dst
+            FROM cand_title JOIN uni a ON a.sid = src JOIN uni b ON b.sid = dst
             ORDER BY query_id, a.lang, "from", "to" """),
         "pagerank_ego": _with("SELECT ego, member, CAST(score AS FLOAT)::DOUBLE AS score FROM ranks"),
         "reciprocal_vectors": _with("SELECT ego, member, CAST(w AS FLOAT)::DOUBLE AS weight FROM rpr_weights"),

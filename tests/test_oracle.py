@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).parent.parent))
 
 import __spark_entry__ as work  # noqa: E402
 from check import TABLES, normalise  # noqa: E402
+from crossweave.plans.workload import registered  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -23,10 +24,10 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(work.queries()) == set(work.oracle_sql())
+    assert set(registered()) <= set(work.oracle_sql()) <= set(work.queries())
 
 
-@pytest.mark.parametrize("name", sorted(work.queries()))
+@pytest.mark.parametrize("name", sorted(work.oracle_sql()))
 def test_query_equals_sql(spark, db, name):
     ours = normalise(work.queries()[name](spark, SMALL).toPandas())
     theirs = normalise(db.execute(work.oracle_sql()[name]).df())
