@@ -1,8 +1,8 @@
 """N-gram Jaccard join by prefixes under several global token orders.
 
 Two sets that are as similar as asked share one of the first few tokens of each under *any*
-order of all tokens.  Candidates must share such a prefix token under every order; only they
-are compared.  The orders put rare tokens first, by a sketch of the tokens' frequencies of fixed
+order of all tokens, and more than one if their sizes are close.  Candidates must share as many prefix
+tokens as that under every order; only they are compared.  The orders put rare tokens first, by a sketch of the tokens' frequencies of fixed
 size (it bears on the cost alone), and break ties differently.
 
 Documents of equal sets are one node.  So that a group of near copies doesn't meet in all its
@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossweave.llm.components import components
@@ -35,7 +37,7 @@ CHUNK = 1 << 19
 # Sets counted in 16 bits before they are passed on.
 COUNTED = 60_000
 #: Bands of two orders each, and leaders of nodes that share one.
-BANDS = 10
+BANDS = 7
 LEADERS = 4
 #: Orders of the prefixes.
 ORDERS = 2
@@ -45,6 +47,12 @@ FREQUENT = 2048
 PART_DOCUMENTS = 2048
 #: Nodes of a block when candidates are compared.
 BLOCK_NODES = 2000
+#: Tokens that more nodes share make these a cluster, whose pairs are made and compared within tasks,
+#: block by block of about so many nodes and shingles.
+CLUSTERED = 64
+CLUSTER_NODES, CLUSTER_SHINGLES = 500, 400_000
+# Columns of an incidence matrix, and up to how many of them pairs are counted by products.
+COLUMNS, MOST_COLUMNS = 8192, 50_000
 # Bits that tell most documents to be left out when sets are fetched.
 FETCH_BITS = 1 << 23
 
@@ -153,7 +161,7 @@ def _levels(counts: DataFrame) -> np.ndarray:
     """The sketch as one byte per slot: SLOTS bytes, whatever the input's size."""
     summed = "chunk int, counts binary"
     # In two steps, so that a task holds the counts of some hundred tasks at most.
-    near = counts.groupBy("chunk", F.expr("part % 256")).applyInArrow(_summed, summed)
+    near = counts.groupBy("chunk", F.expr("part div 256")).applyInArrow(_summed, summed)
     levels = np.zeros(SLOTS, dtype=np.uint8)
 
     def coded(table: pa.Table) -> pa.Table:
@@ -290,21 +298,95 @@ def _compare(pairs: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
         node: np.frombuffer(data, dtype=np.uint64)
         for node, data in zip(sets["node"].to_pylist(), sets["tokens"].to_pylist(), strict=True)
     }
-    linked = []
-    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
-        one, other = known[a], known[b]
-        if len(one) > len(other):
-            one, other = other, one
-        if 100 * len(one) < percent * len(other):
-            linked.append(False)
-            continue
-        at = np.searchsorted(other, one)
-        at[at == len(other)] = 0
-        both = int((other[at] == one).sum())
-        linked.append(100 * both >= percent * (len(one) + len(other) - both))
+    linked = [
+        _alike(known[a], known[b], percent)
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)
+    ]
     return pairs.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
+def _common(tokens: np.ndarray, owner: np.ndarray, count: int, most: int | None) -> np.ndarray | None:
+    """(count, count): how many tokens each two owners have in common; None if those that several
+    have are more than ``most``."""
+    _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    several = times[column] > 1
+    if not several.any():
+        return np.zeros((count, count), dtype=np.float32)
+    _, column = np.unique(column[several], return_inverse=True)
+    owner, width = owner[several], int(column.max()) + 1
+    if most is not None and width > most:
+        return None
+    total = np.zeros((count, count), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for start in range(0, width, COLUMNS):
+        low, high = np.searchsorted(column, [start, start + COLUMNS])
+        has = np.zeros((count, min(COLUMNS, width - start)), dtype=np.float32)
+        has[owner[low:high], column[low:high] - start] = 1
+        total += has @ has.T
+    return total
+
+
+def _compare_blocks(table: pa.Table, percent: int) -> pa.Table:
+    """Links between two blocks of a cluster, or within one: of nodes of different components, those
+    that share enough prefix tokens under all orders are compared.  Only links that join more are told."""
+    count = table.num_rows
+    nodes, sizes, names = (np.asarray(table[c]) for c in ("node", "size", "component"))
+    block, first, second = (np.asarray(table[c]) for c in ("block", "first", "second"))
+    prefix, orders = table["prefix"].combine_chunks(), table["orders"].combine_chunks()
+    owner = np.repeat(np.arange(count), np.diff(np.asarray(prefix.offsets)))
+    tokens, bits = np.asarray(prefix.flatten()), np.asarray(orders.flatten())
+    asked = (block[:, None] == first[:, None]) & (block[None, :] == second[None, :])
+    asked &= names[:, None] != names[None, :]
+    asked &= 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
+    if first[0] == second[0]:
+        asked = np.triu(asked, 1)
+    # As Join.least_shared has it.
+    needed = -(-percent * np.add.outer(sizes, sizes) // (100 + percent))
+    rest = -(-percent * np.maximum.outer(sizes, sizes) // 100) - 1
+    least = np.maximum(needed - rest, 1)
+    for i in range(ORDERS):
+        own = (bits >> i & 1).astype(bool)
+        asked &= _common(tokens[own], owner[own], count, None) >= least
+    found: list[tuple[int, int]] = []
+    if asked.any():
+        sets = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in table["tokens"]]
+        lengths = [len(s) for s in sets]
+        both = _common(np.concatenate(sets), np.repeat(np.arange(count), lengths), count, MOST_COLUMNS)
+        if both is not None:
+            union = np.add.outer(sizes, sizes) - both
+            at = np.argwhere(asked & (100 * both >= percent * union)).tolist()
+        else:
+            at = [
+                (a, b) for a, b in np.argwhere(asked).tolist() if _alike(sets[a], sets[b], percent)
+            ]
+        roots: dict[int, int] = {}
+
+        def root(name: int) -> int:
+            while name in roots:
+                name = roots[name]
+            return name
+
+        for a, b in at:
+            one, other = root(int(names[a])), root(int(names[b]))
+            if one != other:
+                roots[one] = other
+                found.append((int(nodes[a]), int(nodes[b])))
+    columns = list(zip(*found, strict=True)) or [(), ()]
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip("ab", columns, strict=True)})
+
+
+def _alike(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    if len(one) > len(other):
+        one, other = other, one
+    if 100 * len(one) < percent * len(other):
+        return False
+    at = np.searchsorted(other, one)
+    at[at == len(other)] = 0
+    both = int((other[at] == one).sum())
+    return 100 * both >= percent * (len(one) + len(other) - both)
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch], wanted, words: int) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     bits = np.frombuffer(wanted.value, dtype=np.uint8)
@@ -347,17 +429,17 @@ class Join:
         self.counts = first.where("chunk IS NOT NULL").select("chunk", "part", "counts")
         self.nodes = ws.save(
             self.rows.where("node IS NOT NULL").groupBy("node").agg(
-                F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")
+                F.min("doc_id").alias("doc_id"),
+                F.first("size").alias("size"),
+                F.first("bands").alias("bands"),
             ),
             "nodes",
         )
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs(a, b)``, distinct and a < b, that are similar enough."""
-        ws, percent, words = self.ws, self.percent, self.words
-        pairs = ws.save(pairs, "pairs").df
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        needed = ws.save(ends.join(self.nodes.df.select("node", "doc_id"), "node"), "needed")
+    def sets_of(self, nodes: DataFrame) -> tuple[DataFrame, int]:
+        """(node, tokens) of the distinct ``nodes(node)``, read again from the texts; how many there are."""
+        words = self.words
+        needed = self.ws.save(nodes.join(self.nodes.df.select("node", "doc_id"), "node"), "needed")
         # Which documents to read again, as bits: true ones always, others rarely.
         bits = np.zeros(FETCH_BITS // 8, dtype=np.uint8)
 
@@ -382,7 +464,15 @@ class Join:
             .join(needed.df.select("node"), "node", "left_semi")
             .dropDuplicates(["node"])
         )
-        blocks = needed.rows // BLOCK_NODES + 1
+        return sets, needed.rows
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(a, b)``, distinct and a < b, that are similar enough."""
+        percent = self.percent
+        pairs = self.ws.save(pairs, "pairs").df
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets, needed = self.sets_of(ends)
+        blocks = needed // BLOCK_NODES + 1
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
         placed = pairs.select("a", "b", block("a").alias("row"), block("b").alias("column"))
         uses = (
@@ -398,25 +488,78 @@ class Join:
             .applyInArrow(lambda p, s: _compare(p, s, percent), "a long, b long")
         )
 
+    def linked_clusters(self, entries: DataFrame) -> DataFrame:
+        """Links (a, b) that join components, among nodes that share a token of many nodes; ``entries``
+        has the prefix tokens (token, node, orders, size, component, many)."""
+        percent, ws = self.percent, self.ws
+        least = entries.where("many").groupBy("token").agg(F.min("node").alias("b"))
+        spokes = entries.where("many").join(least, "token").select(F.col("node").alias("a"), "b")
+        clusters = components(spokes.distinct(), ws).select("node", F.col("component").alias("cluster"))
+        prefixes = entries.groupBy("node", "size", "component").agg(
+            F.collect_list(F.struct("token", "orders")).alias("own")
+        )
+        placed = ws.save(prefixes.join(clusters, "node"), "clustered").df
+        blocks = placed.groupBy("cluster").agg(
+            F.greatest(
+                F.ceil(F.count(F.lit(1)) / CLUSTER_NODES), F.ceil(F.sum("size") / CLUSTER_SHINGLES)
+            )
+            .cast("int")
+            .alias("blocks")
+        )
+        sets, _ = self.sets_of(placed.select("node"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+        dealt = (
+            placed.join(sets, "node")
+            .join(blocks, "cluster")
+            .select(
+                "cluster",
+                "node",
+                F.col("size").cast("long").alias("size"),
+                "component",
+                "tokens",
+                F.transform("own", lambda e: e["token"]).alias("prefix"),
+                F.transform("own", lambda e: e["orders"]).alias("orders"),
+                block,
+                other,
+            )
+            .withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
+        )
+        return dealt.groupBy("cluster", "first", "second").applyInArrow(
+            lambda t: _compare_blocks(t, percent), "a long, b long"
+        )
+
     def led(self) -> DataFrame:
         """Pairs of nodes with leaders of the bands they share."""
-        bands = self.nodes.df.select("node", F.posexplode("bands").alias("band", "key"))
+        bands = self.nodes.df.select("node", "size", F.posexplode("bands").alias("band", "key"))
         leaders = F.array_distinct(
             F.transform(
-                F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(i)), "node")) for i in range(LEADERS)]),
-                lambda s: s["node"],
+                F.array(
+                    *[
+                        F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "size"))
+                        for i in range(LEADERS)
+                    ]
+                ),
+                lambda s: F.struct(s["node"].alias("node"), s["size"].alias("size")),
             )
         )
         chosen = bands.groupBy("band", "key").agg(leaders.alias("leaders"), F.count(F.lit(1)).alias("n"))
         met = bands.join(chosen.where("n > 1"), ["band", "key"])
-        pairs = met.select("node", F.explode("leaders").alias("leader")).where("node != leader")
+        pairs = met.select("node", "size", F.explode("leaders").alias("leader")).where(
+            (F.col("node") != F.col("leader.node"))
+            & self.alike_in_size(F.col("size"), F.col("leader.size"))
+        )
         return pairs.select(
-            F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
+            F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")
         ).distinct()
 
-    def candidates(self, names: DataFrame) -> DataFrame:
-        """Pairs of different components (``names(node, component)``; others are their own) that share
-        prefix tokens under all orders."""
+    def alike_in_size(self, one: Column, other: Column) -> Column:
+        """Sets of other sizes can't be similar enough."""
+        return 100 * F.least(one, other) >= self.percent * F.greatest(one, other)
+
+    def prefix_entries(self, names: DataFrame) -> DataFrame:
+        """(token, node, orders, size, component, many) for all prefix tokens that different components
+        (``names(node, component)``; other nodes are their own) share; ``many``: that many nodes have."""
         ws, percent, words = self.ws, self.percent, self.words
         sketch = self.spark.sparkContext.broadcast(_levels(self.counts).tobytes())
         parts = self.nodes.rows // PART_DOCUMENTS + 1
@@ -430,45 +573,69 @@ class Join:
             .applyInArrow(_shared, "token long, node long, orders int")
         )
         often = second.where("frequent").select("token", "node", "orders").distinct()
-        entries = (
-            rare.union(often)
-            .join(names, "node", "left")
-            .select("token", "node", "orders", F.coalesce("component", "node").alias("component"))
+        placed = self.nodes.df.join(names, "node", "left").select(
+            "node", "size", F.coalesce("component", "node").alias("component")
         )
+        entries = rare.union(often).join(placed, "node")
         entries = ws.save(entries, "entries").df
         # Tokens that more than one component has.
         open_ = (
             entries.groupBy("token")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            .agg(
+                F.min("component").alias("low"),
+                F.max("component").alias("high"),
+                (F.count(F.lit(1)) > CLUSTERED).alias("many"),
+            )
             .where("low != high")
-            .select("token")
+            .select("token", "many")
         )
-        entries = ws.save(entries.join(open_, "token", "left_semi"), "open").df
+        return ws.save(entries.join(open_, "token"), "open").df
+
+    def candidates(self, entries: DataFrame) -> DataFrame:
+        """Pairs of different components that share enough prefix tokens under all orders, by tokens that
+        not many nodes have; pairs that share others are within a cluster."""
+        entries = entries.where("NOT many")
         other = entries.select(
             "token",
             F.col("node").alias("b"),
             F.col("orders").alias("b_orders"),
+            F.col("size").alias("b_size"),
             F.col("component").alias("b_component"),
         )
         met = entries.join(other, "token").where(
             (F.col("node") < F.col("b"))
             & (F.col("component") != F.col("b_component"))
             & (F.col("orders").bitwiseAND(F.col("b_orders")) != 0)
+            & self.alike_in_size(F.col("size"), F.col("b_size"))
         )
-        return (
-            met.groupBy(F.col("node").alias("a"), "b")
-            .agg(F.bit_or(F.col("orders").bitwiseAND(F.col("b_orders"))).alias("orders"))
-            .where(F.col("orders") == (1 << ORDERS) - 1)
-            .select("a", "b")
-        )
-
+        both = F.col("orders").bitwiseAND(F.col("b_orders"))
+        counts = [F.sum(F.shiftright(both, i).bitwiseAND(1)).alias(f"n{i}") for i in range(ORDERS)]
+        paired = met.groupBy(F.col("node").alias("a"), "b", "size", "b_size").agg(*counts)
+        least = self.least_shared(F.col("size"), F.col("b_size"))
+        enough = [F.col(f"n{i}") >= least for i in range(ORDERS)]
+        return paired.where(reduce(and_, enough)).select("a", "b")
+
+    def least_shared(self, one: Column, other: Column) -> Column:
+        """How many tokens both prefixes share at least, under any order, if two sets are similar enough.
+
+        Of the shared tokens those up to the end of the prefix that ends first are in both; what
+        is left of that set is no more than its size less its prefix.
+        """
+        percent = self.percent
+        needed = F.ceil(F.lit(percent) * (one + other) / (100 + percent))
+        rest = F.ceil(F.lit(percent) * F.greatest(one, other) / 100) - 1
+        return F.greatest(needed - rest, F.lit(1))
 
     def named(self) -> DataFrame:
         """(node, doc_id, component) for every node."""
         near = self.ws.save(self.linked(self.led()), "links").df
         names = components(near, self.ws)
-        more = self.ws.save(self.linked(self.candidates(names)), "links").df
-        names = components(near.union(more), self.ws)
+        # A pair that lacks shared tokens among those of few nodes has some among those of many, so it
+        # is within a cluster; there all prefix tokens count.
+        entries = self.prefix_entries(names)
+        more = self.ws.save(self.linked(self.candidates(entries)), "links").df
+        rest = self.ws.save(self.linked_clusters(entries), "links").df
+        names = components(near.union(more).union(rest), self.ws)
         return (
             self.nodes.df.select("node", "doc_id")
             .join(names, "node", "left")
