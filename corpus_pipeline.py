@@ -52,8 +52,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, lang, n_tokens, ids, round_trip, mix_file, mix_row): the last two are where
-    the mixture's files have the document, null for documents that aren't read from files."""
+    """(doc_id, source, lang, mix_file, mix_row, n_tokens, ids, round_trip): ``mix_file`` and ``mix_row``
+    are where the mixture's files have the document, null for documents that aren't read from files."""
     file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     pattern = public_tokenizers.PATTERN
     own = ["doc_id", "source", "lang", "text"]
@@ -70,8 +70,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             F.lit(None).cast("string").alias("mix_file"),
             F.lit(None).cast("long").alias("mix_row"),
         )
-    coded = placed.withColumn("made", bpe_transducer.round_trip(F.col("text"), file, pattern))
-    return coded.select("doc_id", "source", "lang", "made.*", "mix_file", "mix_row")
+    return bpe_transducer.with_ids(placed, file, pattern)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -20,9 +20,11 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crossweave.llm.worker import by_value, columns_named, kept
 
@@ -34,6 +36,8 @@ KEPT_PAIRS = 300_000
 KEPT_PIECES = 400_000
 KEPT_LENGTH = 64
 NO_RANK = 1 << 60
+# Rows whose ids are held together.
+ROWS_AT_ONCE = 500
 # Tokens per step of a streaming decoder.
 DECODED_AT_ONCE = 2048
 
@@ -269,12 +273,13 @@ class Decoder:
         return "".join(self.stream(ids))
 
 
-def _coder(file: str, pattern: str) -> tuple[Transducer, Decoder]:
-    def make():
-        machine = Transducer(file, pattern)
-        return machine, Decoder(machine.bytes_of)
+def _new_coder(file: str, pattern: str) -> tuple[Transducer, Decoder]:
+    machine = Transducer(file, pattern)
+    return machine, Decoder(machine.bytes_of)
+
 
-    return kept("bpe_transducer", (file, pattern), make)
+def _coder(file: str, pattern: str) -> tuple[Transducer, Decoder]:
+    return kept("bpe_transducer", (file, pattern), lambda: _new_coder(file, pattern))
 
 
 def encode(text: Column, file: str, pattern: str) -> Column:
@@ -304,28 +309,48 @@ def decode(ids: Column, file: str, pattern: str) -> Column:
     return text(ids)
 
 
-def round_trip(text: Column, file: str, pattern: str) -> Column:
-    """(n_tokens, ids, round_trip): the token ids of each text, and whether they decode to it again;
-    null counts as empty."""
+def with_ids(docs: DataFrame, file: str, pattern: str) -> DataFrame:
+    """``docs`` with ``n_tokens``, ``ids`` and ``round_trip`` in the place of ``text``: the token ids of
+    each text, and whether they decode to it again; null counts as empty.
 
-    @F.pandas_udf("n_tokens long, ids array<int>, round_trip boolean")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        machine, decoder = _coder(file, pattern)
-        for texts in batches:
-            packed = [machine.encode_packed(t) for t in texts]
-            same = [
-                decoder.text(memoryview(p).cast("I")) == (t or "")
-                for p, t in zip(packed, texts, strict=True)
-            ]
-            yield pd.DataFrame(
-                {
-                    "n_tokens": [len(p) // 4 for p in packed],
-                    "ids": pd.Series([np.frombuffer(p, dtype="<i4") for p in packed], dtype=object),
-                    "round_trip": same,
-                }
-            )
+    Rows keep their order within a partition; columns of these names are replaced.
+    """
+    columns_named(docs, "text")
+    own = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "round_trip")]
+    made = T.StructType(
+        [docs.schema[c] for c in own]
+        + [
+            T.StructField("n_tokens", T.LongType()),
+            T.StructField("ids", T.ArrayType(T.IntegerType())),
+            T.StructField("round_trip", T.BooleanType()),
+        ]
+    )
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A coder of the task's own: among other stages, its tables don't stay in the worker.
+        machine, decoder = _new_coder(file, pattern)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                texts = part.column(len(own)).to_pylist()
+                packed = [machine.encode_packed(t) for t in texts]
+                same = [
+                    decoder.text(memoryview(p).cast("I")) == (t or "")
+                    for p, t in zip(packed, texts, strict=True)
+                ]
+                counts = np.array([len(p) // 4 for p in packed], dtype=np.int64)
+                # Ids go to Arrow as they are packed, never as Python numbers.
+                ids = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)),
+                    pa.array(np.frombuffer(b"".join(packed), dtype="<i4")),
+                )
+                columns = [part.column(i) for i in range(len(own))]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(counts), ids, pa.array(same, pa.bool_())],
+                    names=[*own, "n_tokens", "ids", "round_trip"],
+                )
 
-    return both(text)
+    return docs.select(*[f"`{c}`" for c in own], "text").mapInArrow(coded, made)
 
 
 def encode_digests(docs: DataFrame, file: str, pattern: str) -> DataFrame:

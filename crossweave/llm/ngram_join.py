@@ -32,8 +32,8 @@ from crossweave.workspace import Workspace
 by_value(__name__)
 
 #: Slots of the frequency sketch, in pieces of CHUNK.
-SLOTS = 1 << 25
-CHUNK = 1 << 19
+SLOTS = 1 << 24
+CHUNK = 1 << 18
 # Sets counted in 16 bits before they are passed on.
 COUNTED = 60_000
 #: Bands of two orders each, and leaders of nodes that share one.
@@ -139,6 +139,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
             counts[:] = 0
             counted = 0
     yield from passed_on()
+    pa.default_memory_pool().release_unused()
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -214,7 +215,7 @@ def _second_pass(
             names=["part", "frequent", "token", "node", "orders", "packed"],
         )
 
-    for group in in_groups(_rows(batches), 8 << 20):
+    for group in in_groups(_rows(batches), 4 << 20):
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for small in in_groups(group):
             for tokens in shingle_sets([text for *_, text in small], words, powers):

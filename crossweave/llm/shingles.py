@@ -11,7 +11,7 @@ from crossweave.llm.worker import by_value
 by_value(__name__)
 
 # Bytes hashed together.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -98,8 +98,9 @@ def shingle_sets(texts: list[bytes], size: int, powers: Powers) -> list[np.ndarr
     return out
 
 
-def in_groups(rows: Iterable[tuple], size: int = AT_ONCE) -> Iterator[list[tuple]]:
-    """Groups of rows (.., text) of about ``size`` bytes of text."""
+def in_groups(rows: Iterable[tuple], size: int | None = None) -> Iterator[list[tuple]]:
+    """Groups of rows (.., text) of about ``size`` bytes of text, by default AT_ONCE."""
+    size = AT_ONCE if size is None else size
     group: list[tuple] = []
     held = 0
     for row in rows:

@@ -68,7 +68,7 @@ def near_copies(spark):
 
 @pytest.fixture(autouse=True)
 def small_sketch(monkeypatch):
-    monkeypatch.setattr(join, "SLOTS", 1 << 19)
+    monkeypatch.setattr(join, "SLOTS", 1 << 18)
 
 
 @pytest.mark.parametrize(

@@ -123,6 +123,8 @@ def test_digests_and_round_trip(awkward, listed):
         "text", bpe.encode(F.col("text"), RANKS, PATTERN).alias("ids")
     ).withColumn("back", bpe.decode(F.col("ids"), RANKS, PATTERN))
     assert both.where("back != coalesce(text, '')").count() == 0
-    made = awkward.select(bpe.round_trip(F.col("text"), RANKS, PATTERN).alias("m")).select("m.*")
+    made = bpe.with_ids(awkward, RANKS, PATTERN)
+    assert made.columns == [c for c in awkward.columns if c != "text"] + ["n_tokens", "ids", "round_trip"]
+    assert made.count() == awkward.count() and bpe.with_ids(awkward.limit(0), RANKS, PATTERN).count() == 0
     assert made.where("NOT round_trip OR size(ids) != n_tokens").count() == 0
     assert bpe.encode_digests(awkward.limit(0), RANKS, PATTERN).count() == 0
