@@ -14,6 +14,7 @@ from crossweave.plans import analyses, graph as graphs
 from crossweave.plans.store import CANDIDATES, RANKED, ResultStore
 from crossweave.sources.tables import (
     get_or_build,
+    load_id,
     read_language_links,
     read_links,
     read_pages,
@@ -25,7 +26,8 @@ from crossweave.workspace import Stored, Workspace
 class Editions:
     """Some language editions of one collection, loaded by ``sources.dump.load_dump``.
 
-    Tables shared by all analyses are written below ``analysis`` when first needed.
+    Tables shared by all analyses, and results, are written below ``analysis`` and the id of the load
+    when first needed; after another load, a new object starts anew.
     """
 
     def __init__(
@@ -43,11 +45,12 @@ class Editions:
         self.pivot = pivot
         self.fmt = fmt
         self.name = "_".join(self.languages)
-        self.store = ResultStore(self.spark, f"{table_dir}/analysis/results_{self.name}")
+        self.analysis = f"{table_dir}/analysis/{load_id(self.spark, table_dir)}"
+        self.store = ResultStore(self.spark, f"{self.analysis}/results_{self.name}")
         self._graph: graphs.LinkGraph | None = None
 
     def _table(self, name: str, build) -> Stored:
-        path = f"{self.table_dir}/analysis/{name}_{self.name}"
+        path = f"{self.analysis}/{name}_{self.name}"
         return Stored(get_or_build(self.spark, path, build, self.fmt), path)
 
     def _pages(self) -> Stored:
@@ -146,7 +149,7 @@ class Editions:
 
     def _report_path(self, kind: str, title: str) -> str:
         place = title.replace("/", "%2F")
-        return f"{self.table_dir}/analysis/articles/{kind}_{place}_{self.name}"
+        return f"{self.analysis}/articles/{kind}_{place}_{self.name}"
 
     def _one(self, title: str) -> DataFrame:
         return self.spark.createDataFrame([(title,)], "title string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,10 +108,17 @@ def article_filter(languages: Sequence[str]) -> Column:
 def read_lines(
     spark: SparkSession, dump_dir: str, kind: str, languages: Sequence[str]
 ) -> DataFrame:
-    """``lines(value, lang)`` of every language in one scan; ``lang`` is the folder."""
+    """``lines(value, lang)`` of every language in one scan; ``lang`` is the folder.
+
+    The folders of the dump end the path, so names above them don't matter.
+    """
     folder = DUMP_FOLDERS[kind]
     paths = [f"{dump_dir}/{lang}/{folder}" for lang in languages]
-    lang = F.regexp_extract(F.col("_metadata.file_path"), f"/([^/]+)/{folder}", 1)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    found = F.regexp_extract(path, f"^.*/([^/]+)/{folder}(?:/[^/]*)?$", 1)
+    lang = F.when(found.isin(list(languages)), found).otherwise(
+        F.raise_error(F.concat(F.lit("no language of the list in "), path))
+    )
     return spark.read.text(paths).select("value", lang.alias("lang"))
 
 
@@ -137,7 +145,8 @@ def load_dump(
 ) -> None:
     """Parse a dump into tables partitioned by language, then resolve its language links.
 
-    One job per kind reads all languages at once.
+    One job per kind reads all languages at once.  At the end the tables get a new load id, by
+    which analyses of them are told from those of an earlier load.
     """
     for kind in kinds:
         where = article_filter(languages) if kind == LANGUAGE_LINK else None
@@ -151,6 +160,8 @@ def load_dump(
         write_table(parsed, path, fmt=fmt, partition_by=[partition])
     if LANGUAGE_LINK in kinds:
         resolve_dump(spark, out_dir, languages, fmt)
+    load = spark.range(1).select(F.lit(uuid4().hex).alias("load"))
+    write_table(load, f"{out_dir}/load")
 
 
 def resolve_dump(
