@@ -19,6 +19,7 @@ from crossweave.llm import (
     token_counts,
     topk_search,
 )
+from crossweave.llm.sql import SQL as SQL
 
 TOKEN_LIMIT = 2048
 #: Sources are mixed by their rows to this power, in blocks of so many documents.
@@ -107,4 +108,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_secret_scan,
     )
 }
-SQL: dict[str, str] = {}
