@@ -31,7 +31,7 @@ def vectors(spark):
     rows = [(i, random.standard_normal(6).astype(np.float32).tolist()) for i in range(600)]
     rows += [(1000 + i, rows[3][1]) for i in range(60)] + rows[:5]
     rows += [(None, [1.0] * 6), (2000, None), (2001, []), (2010, []), (2020, [float("nan")] * 6)]
-    rows += [(2030, [1.0, None, 0, 0, 0, 0]), (2040, [float("inf")] * 6), (2050, [0.5, 0.5])]
+    rows += [(2030, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2040, [float("inf")] * 6), (2050, [0.5, 0.5])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     return rows, frame.selectExpr("*", "vec_id AS score", "vec_id AS shard", "vec_id AS query_id")
 
@@ -45,7 +45,7 @@ def test_search_equals_all_pairs(spark, listed, monkeypatch, shard_rows, block):
 
 
 def test_large_numbers_stay_exact(spark, listed):
-    rows = [(i, [1e9 + i, 3e9, -1e8 * i]) for i in range(20)]
+    rows = [(i, [1e9 + i, 2e9, -1e8 * i]) for i in range(20)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = listed(search.top_k(frame, every=5, k=3, levels=1))
     exact = sorted(
