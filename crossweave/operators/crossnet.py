@@ -20,9 +20,12 @@ def consistent_links(
     saves the second check.
     """
     ends = [("from", "fromLang")] if resolved else [("from", "fromLang"), ("to", "toLang")]
+    given = links
     for end, lang in ends:
         known = pages.df.select(F.col("sid").alias(end), F.col("lang").alias(lang))
-        links = hot_join(links, known, [end, lang], "left_semi", left_rows=link_rows)
+        links = hot_join(
+            links, known, [end, lang], "left_semi", left_rows=link_rows, left_profile=given
+        )
     return links
 
 
@@ -124,7 +127,7 @@ def anomaly_report(found: Stored, pages: DataFrame) -> DataFrame:
         F.col("sid").alias("to"), F.col("title").alias("to_title"), F.col("lang").alias("to_lang")
     )
     named = hot_join(found.df.select("from", "to"), source, "from", left_rows=found.rows)
-    named = hot_join(named, target, "to", left_rows=found.rows)
+    named = hot_join(named, target, "to", left_rows=found.rows, left_profile=found.df)
     return named.select(
         "from", "from_title", "from_lang", "to_lang", "to", "to_title"
     ).orderBy("from_lang", "from", "to_lang", "to")

@@ -32,10 +32,15 @@ def unique_pages(pages: DataFrame) -> DataFrame:
 
 def valid_links(links: DataFrame, vertices: Stored, *, link_rows: int) -> DataFrame:
     """Links whose two ends are ``vertices(sid)``; parallel links are kept."""
-    keys = vertices.df.select("sid")
+    keys, given = vertices.df.select("sid"), links
     for end in ("from", "to"):
         links = hot_join(
-            links, keys.withColumnRenamed("sid", end), end, "left_semi", left_rows=link_rows
+            links,
+            keys.withColumnRenamed("sid", end),
+            end,
+            "left_semi",
+            left_rows=link_rows,
+            left_profile=given,
         )
     return links
 
