@@ -12,6 +12,7 @@ from crossweave.functions import maps
 from crossweave.functions.keys import jvm_hash_key, key_builder
 from crossweave.operators import crossnet, linking, neighborhood, reports
 from crossweave.operators import centrality as measures
+from crossweave.operators.skew import hot_join
 from crossweave.plans import analyses, graph as graphs, views
 from crossweave.sources import dump, tables
 from crossweave.sources.derived import LANGUAGES, PIVOT, DerivedGraph
@@ -168,6 +169,38 @@ def parse_raw_langlinks(c: Corpus, ws: Workspace) -> DataFrame:
     return dump.parse_lines(lines, dump.RAW_LANGUAGE_LINK, _key())
 
 
+# Dumps: lines written as files, loaded into tables, and read back.
+
+
+def _loaded(c: Corpus, ws: Workspace) -> str:
+    lines = {
+        dump.NORMAL_PAGE: c.source.page_lines(c.pages.df),
+        dump.PAGE_LINK: c.source.link_lines(c.links.df),
+        dump.LANGUAGE_LINK: c.source.language_link_lines(c.dump.df),
+    }
+    for kind, of_all in lines.items():
+        for lang in LANGUAGES:
+            own = of_all.where(F.col("lang") == lang).select("value")
+            own.write.text(f"{ws.root}/dump/{lang}/{dump.DUMP_FOLDERS[kind]}")
+    dump.load_dump(ws.spark, f"{ws.root}/dump", f"{ws.root}/tables", LANGUAGES, list(lines))
+    return f"{ws.root}/tables"
+
+
+@query
+def dump_links(c: Corpus, ws: Workspace) -> DataFrame:
+    return tables.read_links(ws.spark, _loaded(c, ws), SCANNED).drop("kind")
+
+
+@query
+def dump_language_links(c: Corpus, ws: Workspace) -> DataFrame:
+    return tables.read_language_links(ws.spark, _loaded(c, ws), LANGUAGES)
+
+
+@query
+def dump_unresolved(c: Corpus, ws: Workspace) -> DataFrame:
+    return tables.read_language_link_dump(ws.spark, _loaded(c, ws), SCANNED).drop("kind")
+
+
 @query
 def jvm_keys(c: Corpus, ws: Workspace) -> DataFrame:
     return c.pages.df.select(
@@ -359,35 +392,56 @@ def rank_by_title_rpr(c: Corpus, ws: Workspace) -> DataFrame:
     return _comparable(analyses.rank(_by_title(c, ws), "RPR").df, "score")
 
 
-@query
-def rank_top_k(c: Corpus, ws: Workspace) -> DataFrame:
+def _rank_top_k(c: Corpus, ws: Workspace, centrality: str) -> DataFrame:
     made = _by_title(c, ws)
-    ranked = analyses.rank(made, "HITS")
+    ranked = analyses.rank(made, centrality)
     return _comparable(reports.ranking_report(ranked, made.graph.pages.df), "jaccard")
 
 
 @query
-def rank_stats(c: Corpus, ws: Workspace) -> DataFrame:
+def rank_top_k(c: Corpus, ws: Workspace) -> DataFrame:
+    return _rank_top_k(c, ws, "HITS")
+
+
+@query
+def rank_top_k_rpr(c: Corpus, ws: Workspace) -> DataFrame:
+    return _rank_top_k(c, ws, "RPR")
+
+
+def _rank_stats(c: Corpus, ws: Workspace, centrality: str) -> DataFrame:
     made = _by_title(c, ws)
-    ranked = analyses.rank(made, "HITS")
+    ranked = analyses.rank(made, centrality)
     stats = reports.ranking_statistics(ranked, made.graph.pages.df)
     scores = [n for n in stats.columns if n not in ("query_id", "from", "from_title", "lang")]
     return _comparable(stats, *scores)
 
 
+@query
+def rank_stats(c: Corpus, ws: Workspace) -> DataFrame:
+    return _rank_stats(c, ws, "HITS")
+
+
+@query
+def rank_stats_rpr(c: Corpus, ws: Workspace) -> DataFrame:
+    return _rank_stats(c, ws, "RPR")
+
+
 # Relatedness: every page link of the pivot edition gives a pair of titles.
 
 
-def _related(c: Corpus, ws: Workspace, centrality: str) -> DataFrame:
+def _related(c: Corpus, ws: Workspace, centrality: str, times: int = 1) -> DataFrame:
     graph = c.graph(ws)
     titled = graph.pages.df.where(F.col("lang") == PIVOT).select("sid", "title")
     pairs = graph.edges.df
     for end, letter in (("from", "a"), ("to", "b")):
         named = titled.select(F.col("sid").alias(end), F.col("title").alias(f"title_{letter}"))
-        pairs = pairs.join(named, end)
+        edges = graph.edges
+        pairs = hot_join(pairs, named, end, left_rows=edges.rows, left_profile=edges.df)
     pairs = pairs.select(
         F.concat_ws(" ", "title_a", "title_b").alias("pair_id"), "title_a", "title_b"
     ).distinct()
+    for _ in range(times - 1):
+        pairs = pairs.unionByName(pairs)
     return _comparable(analyses.relate(graph, pairs, STEP, centrality, PIVOT), "jaccard")
 
 
@@ -401,6 +455,12 @@ def relatedness_rpr(c: Corpus, ws: Workspace) -> DataFrame:
     return _related(c, ws, "RPR")
 
 
+@query
+def relatedness_repeated(c: Corpus, ws: Workspace) -> DataFrame:
+    """Pairs asked for twice get what they get once."""
+    return _related(c, ws, "RPR", times=2)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(function: Query) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: function(corpus(spark, sf_dir), Workspace(spark))

@@ -291,7 +291,30 @@ def oracle_sql() -> dict[str, str]:
                dsttitle AS "toTitle", lang, CAST(score AS FLOAT)::DOUBLE AS jaccard
         FROM matched m JOIN scores s ON s.src = m.src AND s.dst = m.dst
         ORDER BY pair_id, lang, "from", "to" """
-    return {
+    reports = {}
+    for end, weights in (("", "unit_weights"), ("_rpr", "rpr_weights")):
+        reports |= {
+            f"rank_top_k{end}": _with("""
+                SELECT q AS query_id, src AS "from", n.title AS from_title, dst AS "to",
+                       b.title AS to_title, CAST(jaccard AS FLOAT)::DOUBLE AS jaccard, n.lang,
+                       rnk AS rank
+                FROM numbered n JOIN uni b ON b.sid = dst WHERE rnk <= 10""",
+                _ranking("cand_title", weights)),
+            f"rank_stats{end}": _with(f"""
+                SELECT n.q AS query_id, n.src AS "from", title AS from_title, lang,
+                       CAST(max(jaccard) AS FLOAT)::DOUBLE AS max_jaccard,
+                       CAST(min(jaccard) AS FLOAT)::DOUBLE AS min_jaccard,
+                       {_average("jaccard")} AS avg_jaccard,
+                       CAST(stddev_samp(jaccard) AS FLOAT)::DOUBLE AS stddev_jaccard,
+                       CAST(CASE WHEN max(jaccard) > min(jaccard)
+                                 THEN avg((jaccard - mu) ** 3) / avg((jaccard - mu) ** 2) ** 1.5 END
+                            AS FLOAT)::DOUBLE AS skewness_jaccard,
+                       {_average("CASE WHEN rnk <= 10 THEN jaccard END")} AS avg_top_10,
+                       {_average("CASE WHEN rnk > 10 THEN jaccard END")} AS avg_non_top_10
+                FROM numbered n JOIN means m ON n.q = m.q AND n.src = m.src
+                GROUP BY n.q, n.src, title, lang""", _ranking("cand_title", weights)),
+        }
+    return reports | {
         "load_corpus": _with(counts),
         "scan_pages": _with("""
             SELECT * FROM (
@@ -369,25 +392,18 @@ def oracle_sql() -> dict[str, str]:
         "rank_everywhere_rpr": _with(RANKED, _ranking("cand_all", "rpr_weights")),
         "rank_by_title_hits": _with(RANKED, _ranking("cand_title", "unit_weights")),
         "rank_by_title_rpr": _with(RANKED, _ranking("cand_title", "rpr_weights")),
-        "rank_top_k": _with("""
-            SELECT q AS query_id, src AS "from", n.title AS from_title, dst AS "to",
-                   b.title AS to_title, CAST(jaccard AS FLOAT)::DOUBLE AS jaccard, n.lang,
-                   rnk AS rank
-            FROM numbered n JOIN uni b ON b.sid = dst WHERE rnk <= 10""",
-            _ranking("cand_title", "unit_weights")),
-        "rank_stats": _with(f"""
-            SELECT n.q AS query_id, n.src AS "from", title AS from_title, lang,
-                   CAST(max(jaccard) AS FLOAT)::DOUBLE AS max_jaccard,
-                   CAST(min(jaccard) AS FLOAT)::DOUBLE AS min_jaccard,
-                   {_average("jaccard")} AS avg_jaccard,
-                   CAST(stddev_samp(jaccard) AS FLOAT)::DOUBLE AS stddev_jaccard,
-                   CAST(CASE WHEN max(jaccard) > min(jaccard)
-                             THEN avg((jaccard - mu) ** 3) / avg((jaccard - mu) ** 2) ** 1.5 END
-                        AS FLOAT)::DOUBLE AS skewness_jaccard,
-                   {_average("CASE WHEN rnk <= 10 THEN jaccard END")} AS avg_top_10,
-                   {_average("CASE WHEN rnk > 10 THEN jaccard END")} AS avg_non_top_10
-            FROM numbered n JOIN means m ON n.q = m.q AND n.src = m.src
-            GROUP BY n.q, n.src, title, lang""", _ranking("cand_title", "unit_weights")),
         "relatedness_hits": _with(related, _relating("unit_weights")),
         "relatedness_rpr": _with(related, _relating("rpr_weights")),
+        "relatedness_repeated": _with(related, _relating("rpr_weights")),
+        "dump_links": _with("""
+            SELECT src AS "from", dst AS "to", lang AS "fromLang", lang AS "toLang"
+            FROM g_links WHERE lang IN ('r1', 'r2', 'r3')"""),
+        "dump_language_links": _with("""
+            SELECT d.sid // 1024 * 1024 + CAST(substr(d.lang, 2) AS BIGINT) AS "from", p.sid AS "to",
+                   d.lang AS "fromLang", p.lang AS "toLang"
+            FROM g_dump d JOIN g_pages p ON d.title = p.title AND d.tolang = p.lang"""),
+        "dump_unresolved": _with("""
+            SELECT sid // 1024 * 1024 + CAST(substr(lang, 2) AS BIGINT) AS sid, tolang AS "toLang",
+                   title, lang
+            FROM g_dump WHERE lang IN ('r1', 'r2', 'r3') AND NOT contains(title, ':')"""),
     }
