@@ -1,12 +1,14 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
 Each source's rows, in an order of their own, form blocks.  Time is a row of slots, one
-block each, cut into periods.  In a period source i has m[i] blocks of all M; its k-th
-(from 0) may run from slot floor(k * M / m[i]) on and has to by ceil((k + 1) * M / m[i]).
-Earliest-deadline-first meets every such window, so at every slot each source is less
-than one block from its target.  m[i] is the source's weight in whole slots, until the
-source runs out; so between the periods in which a source ends the schedule repeats, and
-it is worked out once for each of these few stretches and looked up for each block.
+block each.  In the ideal, sources flow at their weight over the weights of those that have not
+ended.  With v the flow per weight so far, source i's k-th block (from 0) flows from v = k / w[i] to
+(k + 1) / w[i], and slot t ends at the v at which t + 1 blocks in all have flown.  A block may run once it
+flows, and the one due first does, which meets all windows: at every slot each source is less than one
+block from its target, also where sources end.  Nothing is rounded and no period is kept.
+
+Beyond MOST_ALONE sources the lighter ones are bundled with those of like weight (within a factor of
+2); a bundle is scheduled like a source, and its blocks are dealt to its sources by the middles of their flow.
 """
 
 from __future__ import annotations
@@ -18,15 +20,25 @@ from pyspark.sql import functions as F
 from crossweave.llm.worker import columns_named
 from crossweave.workspace import Workspace
 
-#: Slots of a period, by which target weights are rounded.
+#: A source without a positive weight gets one slot in so many.
 PERIOD = 1000
-#: Bounds the schedule, which is broadcast: (2 * MOST_SOURCES + 1) stretches of about PERIOD slots.
-MOST_SOURCES = 256
+#: Up to so many sources are scheduled each by itself; of more, the HEAVIEST are, and the others in bundles.
+MOST_ALONE = 256
+HEAVIEST = 128
+# Bundles are told apart down to this power of 2 of the greatest weight.
+LIGHTEST = -100
+# Slots worked out in one list, and in one row.
+PIECE = 1000
+PIECES = 64
 # Rows of one sorted group; groups of a source are numbered, so no source is one group.
 GROUP_ROWS = 512
 # Groups whose offsets are summed together; sums of these are summed in turn.
 SPAN = 64
 FAR = 2**62
+# Slots whose lacking rows are summed together.
+LACK_SPAN = 4096
+# Relative room for rounding when flows are compared.
+SLACK = 1e-12
 
 
 def _source_key() -> Column:
@@ -96,11 +108,6 @@ def _shares(sources: DataFrame, weights: DataFrame, block_rows: int, period: int
         .groupBy()
         .agg(F.array_sort(F.collect_list(one)).alias("all"))
         .where(F.size("all") > 0)
-        .select(
-            F.when(F.size("all") <= MOST_SOURCES, F.col("all"))
-            .otherwise(F.raise_error(F.lit(f"more than {MOST_SOURCES} sources")))
-            .alias("all")
-        )
         .select(
             F.transform(
                 "all",
@@ -196,26 +203,222 @@ def _turns(shares: DataFrame) -> DataFrame:
     )
 
 
-def _slotted(blocks: DataFrame, sources: DataFrame, turns: DataFrame) -> DataFrame:
-    """``blocks(_src, _block)`` with ``slot``; both tables are bounded by MOST_SOURCES and PERIOD."""
-    period = F.expr("_block div share")
+def _by_periods(sources: DataFrame, weights: DataFrame, block_rows: int, period: int, ws: Workspace) -> DataFrame:
+    """(_src, _block, slot) by weights in whole slots of a period."""
+    shares = ws.save(_shares(sources, weights, block_rows, period), "shares").df
+    turns = ws.save(_turns(shares), "turns").df.withColumnRenamed("src", "_src")
+    known = shares.select(F.explode("all").alias("one"), "stretches").select(
+        F.col("one.src").alias("_src"), "one.share", "one.blocks", "stretches"
+    )
+    own = F.expr("_block div share")
     return (
-        blocks.join(F.broadcast(sources), "_src")
+        known.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumns(
             {
-                "_period": period,
-                "stretch": F.array_max(F.filter("stretches", lambda s: s <= period)),
-                "k": F.col("_block") - period * F.col("share"),
+                "_period": own,
+                "stretch": F.array_max(F.filter("stretches", lambda s: s <= own)),
+                "k": F.col("_block") - own * F.col("share"),
             }
         )
-        .join(
-            F.broadcast(turns.withColumnRenamed("src", "_src")), ["_src", "stretch", "k"]
+        .join(turns, ["_src", "stretch", "k"])
+        .select(
+            "_src",
+            "_block",
+            (F.col("base") + (F.col("_period") - F.col("stretch")) * F.col("slots") + F.col("turn")).alias("slot"),
         )
-        .withColumn(
-            "slot",
-            F.col("base") + (F.col("_period") - F.col("stretch")) * F.col("slots") + F.col("turn"),
+    )
+
+
+def _targets(sources: DataFrame, weights: DataFrame, block_rows: int) -> DataFrame:
+    """(_src, blocks, weight, child): exact weights, and what each source is scheduled as."""
+    asked = weights.select(_source_key().alias("_src"), F.col("weight").cast("double"))
+    sound = ~F.isnan("weight") & (F.col("weight") > 0) & (F.col("weight") < float("inf"))
+    asked = asked.where(sound).groupBy("_src").agg(F.max("weight").alias("weight"))
+    # Sums in a fixed order, so that all runs have the same.
+    all_rows = W.orderBy("_src").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    total = F.coalesce(F.sum("weight").over(all_rows), F.lit(1.0))
+    heaviest = W.orderBy(F.desc("weight"), "_src")
+    size = F.greatest(
+        F.floor(F.log2(F.col("weight") / F.max("weight").over(all_rows))), F.lit(LIGHTEST)
+    ).cast("string")
+    alone = (F.count(F.lit(1)).over(all_rows) <= MOST_ALONE) | (F.row_number().over(heaviest) <= HEAVIEST)
+    return (
+        sources.join(asked, "_src", "left")
+        .select(
+            "_src",
+            F.ceil(F.col("rows") / block_rows).cast("long").alias("blocks"),
+            F.coalesce("weight", total / PERIOD).alias("weight"),
         )
-        .drop("stretches", "stretch", "k", "turn", "slots", "base", "_period", "share")
+        # Keys of sources begin with "=" or are "null".
+        .withColumn("child", F.when(alone, F.col("_src")).otherwise(F.concat(F.lit("~"), size)))
+    )
+
+
+def _flow(targets: DataFrame, *by: str) -> DataFrame:
+    """For sources flowing together, the pieces (*by, first, last, v, t, rate) between their ends, of at
+    most PIECE slots: after s slots, first <= s <= last, the flow per weight is v + (s - t) / rate."""
+    end = F.col("blocks") / F.col("weight")
+    up = W.partitionBy(*by).orderBy("end", "_src")
+    to_here = up.rowsBetween(W.unboundedPreceding, W.currentRow)
+    after = W.partitionBy(*by).orderBy(F.desc("end"), F.desc("_src")).rowsBetween(W.unboundedPreceding, -1)
+    ends = (
+        targets.withColumn("end", end)
+        .withColumn("live", F.coalesce(F.sum("weight").over(after), F.lit(0.0)))
+        .withColumn("to", F.sum("blocks").over(to_here) + F.col("end") * F.col("live"))
+        .withColumn("to", F.max("to").over(to_here))
+        .withColumn("t", F.coalesce(F.lag("to").over(up), F.lit(0.0)))
+        .withColumn("v", F.coalesce(F.lag("end").over(up), F.lit(0.0)))
+    )
+    low, high = F.floor("t") + 1, F.floor("to")
+    return (
+        ends.select(*by, "v", "t", (F.col("live") + F.col("weight")).alias("rate"), low.alias("low"), high.alias("high"))
+        .where(F.col("low") <= F.col("high"))
+        .select("*", F.explode(F.sequence("low", "high", F.lit(PIECE).cast("long"))).alias("first"))
+        .select(*by, "first", F.least(F.col("first") + PIECE - 1, "high").alias("last"), "v", "t", "rate")
+    )
+
+
+def _flown(piece: Column, slots: Column) -> Column:
+    return piece["v"] + (slots - piece["t"]) / piece["rate"]
+
+
+def _children(targets: DataFrame) -> DataFrame:
+    """One row: ``all``, what is scheduled, as (child, blocks, weight, ends), sorted; ``ends`` has the flow
+    at the end of each block of a bundle, and is null for a source by itself."""
+    bundled = targets.where(F.col("child").startswith("~"))
+    piece = {n: F.col(n) for n in ("v", "t", "rate")}
+    ends = (
+        _flow(bundled, "child")
+        .select("child", F.explode(F.sequence("first", "last")).alias("s"), *piece)
+        .groupBy("child")
+        .agg(F.array_sort(F.collect_list(F.struct("s", _flown(piece, F.col("s")).alias("v")))).alias("ends"))
+        .select("child", F.transform("ends", lambda e: e["v"]).alias("ends"))
+    )
+    return (
+        targets.groupBy("child")
+        .agg(F.sum("blocks").alias("blocks"), F.max("weight").alias("weight"))
+        .join(ends, "child", "left")
+        .groupBy()
+        .agg(F.array_sort(F.collect_list(F.struct("child", "blocks", "weight", "ends"))).alias("all"))
+    )
+
+
+def _worked_out(asked: DataFrame) -> DataFrame:
+    """(taken, done) of ``asked(all, pieces, done)``: the blocks (i, k, slot) run in the slots of
+    the pieces, by piece, and how many blocks of each child have then run."""
+
+    def flow(child: Column, k: Column) -> Column:
+        of_bundle = F.when(k == 0, F.lit(0.0)).otherwise(F.get(child["ends"], (k - 1).cast("int")))
+        return F.when(child["ends"].isNull(), k / child["weight"]).otherwise(of_bundle)
+
+    def pick(done: Column, now: Column) -> Column:
+        """The flowing block that is due first; where rounding leaves none, the first due of all."""
+
+        def one(child: Column, i: Column) -> Column:
+            k = done[i]
+            return F.when(
+                k < child["blocks"],
+                F.struct(
+                    (flow(child, k) >= now * (1 - SLACK)).alias("early"),
+                    flow(child, k + 1).alias("due"),
+                    i.alias("i"),
+                    k.alias("k"),
+                ),
+            )
+
+        return F.array_min(F.transform("all", one))
+
+    def slot(piece: Column):
+        def step(state: Column, s: Column) -> Column:
+            # A list of one, so that the choice is made once.
+            return F.transform(
+                F.array(pick(state["done"], _flown(piece, s))),
+                lambda best: F.struct(
+                    F.transform(
+                        state["done"], lambda d, i: F.when(i == best["i"], d + 1).otherwise(d)
+                    ).alias("done"),
+                    F.concat(
+                        state["taken"],
+                        F.array(F.struct(best["i"].alias("i"), best["k"].alias("k"), (s - 1).alias("slot"))),
+                    ).alias("taken"),
+                ),
+            )[0]
+
+        return step
+
+    taken = "array<struct<i:int,k:bigint,slot:bigint>>"
+
+    def step(state: Column, piece: Column) -> Column:
+        start = F.struct(state["done"].alias("done"), F.array().cast(taken).alias("taken"))
+        run = F.aggregate(F.sequence(piece["first"], piece["last"]), start, slot(piece))
+        return F.transform(
+            F.array(run),
+            lambda r: F.struct(
+                r["done"].alias("done"), F.concat(state["taken"], F.array(r["taken"])).alias("taken")
+            ),
+        )[0]
+
+    start = F.struct(F.col("done"), F.array().cast(f"array<{taken}>").alias("taken"))
+    return asked.select(F.aggregate("pieces", start, step).alias("run")).select("run.taken", "run.done")
+
+
+def _by_weight(sources: DataFrame, weights: DataFrame, block_rows: int, ws: Workspace) -> DataFrame:
+    """(_src, _block, slot) by the exact weights."""
+    targets = ws.save(_targets(sources, weights, block_rows), "targets").df
+    slots = targets.agg(F.sum("blocks")).first()[0] or 0
+    pieces = ws.save(_flow(targets), "pieces").df
+    children = ws.save(_children(targets), "children").df
+    row = PIECE * PIECES
+    done = children.select(F.transform("all", lambda c: F.lit(0).cast("long")).alias("done"))
+    rows = []
+    # Each round has one row with the slots of some pieces, so rows stay small at any size.
+    for low in range(0, slots, row):
+        now = pieces.where((F.col("first") > low) & (F.col("first") <= low + row))
+        listed = now.agg(F.array_sort(F.collect_list(F.struct(*now.columns))).alias("pieces"))
+        asked = children.crossJoin(listed).crossJoin(done)
+        rows.append(ws.save(_worked_out(asked), "slots").df)
+        done = rows[-1].select("done")
+    names = children.select(F.posexplode("all").alias("i", "one")).select("i", F.col("one.child").alias("child"))
+    if not rows:
+        return targets.select("_src", F.col("blocks").alias("_block"), F.col("blocks").alias("slot")).limit(0)
+    all_rows = rows[0]
+    for more in rows[1:]:
+        all_rows = all_rows.unionByName(more)
+    turns = (
+        all_rows.select(F.explode(F.flatten("taken")).alias("one"))
+        .select("one.*")
+        .join(names, "i")
+        .select("child", F.col("k"), "slot")
+    )
+    blocks = targets.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    middle = (F.col("_block") + 0.5) / F.col("weight")
+    of_bundle = F.row_number().over(W.partitionBy("child").orderBy("_middle", "_src")).cast("long") - 1
+    lone, bundled = blocks.where("child = _src"), blocks.where("child <> _src").withColumn("_middle", middle)
+    known = lone.select("_src", "_block", "child", F.col("_block").alias("k")).unionByName(
+        bundled.select("_src", "_block", "child", of_bundle.alias("k"))
+    )
+    return known.join(turns, ["child", "k"]).select("_src", "_block", "slot")
+
+
+def _with_lacking(placed: DataFrame, sources: DataFrame, block_rows: int) -> DataFrame:
+    """``placed(_src, _block, slot)`` with ``lacking``, the rows that the blocks before it are short of."""
+    blocks = F.ceil(F.col("rows") / block_rows).cast("long")
+    last = sources.select(
+        "_src", (blocks - 1).alias("_block"), (blocks * block_rows - F.col("rows")).alias("_short")
+    )
+    spanned = (
+        placed.join(last, ["_src", "_block"], "left")
+        .withColumn("_short", F.coalesce("_short", F.lit(0).cast("long")))
+        .withColumn("_span", F.expr(f"slot div {LACK_SPAN}"))
+    )
+    before = lambda w: F.coalesce(
+        F.sum("_short").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")
+    )
+    far = spanned.groupBy("_span").agg(F.sum("_short").alias("_short"))
+    far = far.select("_span", before(W.orderBy("_span")).alias("_far"))
+    near = spanned.withColumn("_near", before(W.partitionBy("_span").orderBy("slot")))
+    return near.join(far, "_span").select(
+        "_src", "_block", "slot", (F.col("_near") + F.col("_far")).alias("lacking")
     )
 
 
@@ -224,55 +427,39 @@ def mix(
     weights: DataFrame,
     *,
     block_rows: int,
-    period: int = PERIOD,
+    period: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """``docs`` with ``source_block``, ``slot`` and ``position`` (all long, from 0): the mixture's order.
 
-    ``weights(source, weight)`` has the targets; a source without a positive weight there gets
-    one slot per period.  Where a source ends, the others go on in their proportions.  All rows
+    ``weights(source, weight)`` has the targets; a source without a positive, finite weight there gets
+    one slot in PERIOD.  Where a source ends, the others go on in their proportions.  All rows
     stay; a null source is a source of its own; positions are 0 to rows - 1 without gaps.  Only equal
     rows can change places between runs.  An empty table gives an empty result, and columns
     named like the three are replaced.
+
+    Weights are exact.  Only a caller that names a ``period`` gets them in whole slots of one, at least
+    one, with a source that has fewer blocks left than its share spread over the period.
     """
     columns_named(docs, "doc_id", "source")
     own = [c for c in docs.columns if c not in ("source_block", "slot", "position")]
     ws = Workspace(docs.sparkSession)
     ranked, sources = _ranked(docs.select(*[f"`{c}`" for c in own]), ws, seed)
-    shares = ws.save(_shares(sources, weights, block_rows, period), "shares").df
-    turns = ws.save(_turns(shares), "turns").df
-    known = shares.select(F.explode("all").alias("one"), "stretches").select(
-        F.col("one.src").alias("_src"), "one.share", "one.blocks", "one.short", "stretches"
-    )
-    # At most MOST_SOURCES rows: the slots of the last blocks, each row with those of all.
-    last = _slotted(
-        known.select("_src", (F.col("blocks") - 1).alias("_block"), F.col("short").alias("_short")),
-        known.select("_src", "share", "stretches"),
-        turns,
-    )
-    short = F.filter(
-        F.collect_list(F.struct("slot", F.col("_short").alias("lacks"))).over(
-            W.partitionBy(F.lit(1))
-        ),
-        lambda s: s["lacks"] > 0,
-    )
-    sources = ws.save(
-        last.select("_src", short.alias("_short")).join(
-            known.select("_src", "share", "stretches"), "_src"
-        ),
-        "sources",
-    ).df
-    blocks = ranked.withColumn("_block", F.expr(f"_rank div {block_rows}"))
-    lacking = F.aggregate(
-        "_short",
-        F.lit(0).cast("long"),
-        lambda a, s: a + F.when(s["slot"] < F.col("slot"), s["lacks"]).otherwise(F.lit(0)),
-    )
-    return _slotted(blocks, sources, turns).select(
-        *[f"`{c}`" for c in own],
-        F.col("_block").alias("source_block"),
-        "slot",
-        (F.col("slot") * block_rows + F.pmod("_rank", F.lit(block_rows)) - lacking).alias("position"),
+    sources = ws.save(sources, "sources").df
+    if period is None:
+        placed = _by_weight(sources, weights, block_rows, ws)
+    else:
+        placed = _by_periods(sources, weights, block_rows, period, ws)
+    placed = ws.save(_with_lacking(placed, sources, block_rows), "placed").df
+    return (
+        ranked.withColumn("_block", F.expr(f"_rank div {block_rows}"))
+        .join(placed.withColumnsRenamed({"slot": "_slot"}), ["_src", "_block"])
+        .select(
+            *[f"`{c}`" for c in own],
+            F.col("_block").alias("source_block"),
+            F.col("_slot").alias("slot"),
+            (F.col("_slot") * block_rows + F.pmod("_rank", F.lit(block_rows)) - F.col("lacking")).alias("position"),
+        )
     )
 
 

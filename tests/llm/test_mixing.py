@@ -85,3 +85,35 @@ def test_bad_weights_get_the_least_share(spark):
     )
     first = mixing.mix(docs, weights, block_rows=1, period=3).orderBy("position").limit(5).collect()
     assert Counter(r.source for r in first) == {"a": 3, "b": 1, "c": 1}
+
+
+def farthest(got, weight, block_rows):
+    """The greatest distance of a source from its target by true weights, over all slots and all sources."""
+    blocks = list(dict.fromkeys((r.source, r.source_block) for r in got))
+    left, flown, seen = Counter(s for s, _ in blocks), Counter(), Counter()
+    size, worst = dict(left), 0.0
+    for source, k in blocks:
+        assert k == seen[source]
+        seen[source] += 1
+        room = 1.0  # of this slot, in which sources may end
+        while room > 1e-12:
+            live = {s: weight[s] for s in size if size[s] - flown[s] > 1e-9}
+            total = sum(live.values())
+            if not live:
+                break
+            part = min([room] + [(size[s] - flown[s]) * total / w for s, w in live.items()])
+            for s, w in live.items():
+                flown[s] += part * w / total
+            room -= part
+        worst = max(worst, max(abs(seen[s] - flown[s]) for s in size))
+    return worst
+
+
+def test_true_weights_on_a_small_table_through_each_end(spark):
+    sizes = {"hot": 3333, None: 200} | {f"s{i}": 100 + 29 * i for i in range(18)}
+    docs = spark.createDataFrame(
+        [(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string"
+    )
+    got = mixed(docs, block_rows=64)
+    assert [r.position for r in got] == list(range(sum(sizes.values())))
+    assert farthest(got, {s: n**0.5 for s, n in sizes.items()}, 64) < 1 + 1e-6
