@@ -61,6 +61,7 @@ class BallTree:
             order[low:high] = order[low:high][along]
             todo += [(low, low + middle, node, 0), (low + middle, high, node, 1)]
         self.ids, self.vectors = ids[order], vectors[order]
+        self.repeats = len(np.unique(ids)) < len(ids)
         self.points = points[order]
         self.centres, self.radii = np.array(centres), np.array(radii)
         self.ranges, self.children = ranges, children
@@ -77,7 +78,7 @@ class BallTree:
     def search(
         self, own: int, query: np.ndarray, bounds: np.ndarray, k: int, floor: int | None
     ) -> list[tuple[int, int]]:
-        """The k best (score, id) of this shard that may be among the k best of all:
+        """The k best (score, id) of this shard that may be among the k best of all, each id once:
         greater scores first, then smaller ids; scores below ``floor`` don't count."""
         exact = self.largest * float(np.abs(query).max(initial=0)) * len(query) < EXACT
         rows, asked = (
@@ -104,9 +105,19 @@ class BallTree:
             (at,) = fits.nonzero()
             if not len(at):
                 continue
+            if self.repeats:
+                # Of each id its greatest score, here and among the best so far.
+                at = at[np.lexsort((-scores[at], ids[at]))]
+                at = at[np.unique(ids[at], return_index=True)[1]]
             if len(at) > k:
                 at = at[np.lexsort((ids[at], -scores[at]))[:k]]
-            best = sorted(best + [(-int(scores[i]), int(ids[i])) for i in at])[:k]
+            best = sorted(best + [(-int(scores[i]), int(ids[i])) for i in at])
+            if self.repeats:
+                firsts: dict[int, int] = {}
+                for score, i in best:
+                    firsts.setdefault(i, score)
+                best = [(score, i) for i, score in firsts.items()]
+            best = best[:k]
             if len(best) == k:
                 least = max(-best[-1][0], least) if least is not None else -best[-1][0]
         return [(-score, i) for score, i in best]
@@ -207,7 +218,9 @@ def top_k(vectors: DataFrame, *, every: int, k: int, levels: int = 256) -> DataF
     if shards == 1:
         found = at_home
     else:
-        floors = at_home.groupBy("query_id").agg(
+        # A query whose id repeats may have met one id several times.
+        met = at_home.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        floors = met.groupBy("query_id").agg(
             F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor")
         )
         block = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")

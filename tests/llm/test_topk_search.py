@@ -80,3 +80,21 @@ def test_bounds_hold_and_balls_are_skipped():
     tree.ranges = type("Watched", (list,), {"__getitem__": lambda s, i: reads.append(i) or list.__getitem__(s, i)})(tree.ranges)
     tree.search(0, queries[0], bounds[0], 5, None)
     assert len(reads) < len(tree.ranges) / 4
+
+
+@pytest.mark.parametrize("shard_rows", [8192, 40])
+def test_ids_repeated_with_different_vectors_take_one_place(spark, listed, monkeypatch, shard_rows):
+    monkeypatch.setattr(search, "SHARD_ROWS", shard_rows)
+    random = np.random.default_rng(4)
+    near = lambda: (2 + 0.1 * random.standard_normal(6)).astype(np.float32).tolist()
+    rows = [(i, random.standard_normal(6).astype(np.float32).tolist()) for i in range(200)]
+    rows += [(i, near()) for i in (7, 13, 20, 30) for _ in range(70)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    best = {}
+    for q, _, i, score in by_hand(rows, 10, len(rows)):
+        best[q, i] = max(score, best.get((q, i), score))
+    expected = []
+    for q in range(0, 200, 10):
+        ranked = sorted((-s, i) for (own, i), s in best.items() if own == q)[:5]
+        expected += [(q, r, i, -s) for r, (s, i) in enumerate(ranked, 1)]
+    assert listed(search.top_k(frame, every=10, k=5)) == sorted(expected, key=repr)
