@@ -117,3 +117,15 @@ def test_true_weights_on_a_small_table_through_each_end(spark):
     got = mixed(docs, block_rows=64)
     assert [r.position for r in got] == list(range(sum(sizes.values())))
     assert farthest(got, {s: n**0.5 for s, n in sizes.items()}, 64) < 1 + 1e-6
+
+
+def test_true_weights_without_rounding_to_slots(spark):
+    sizes = {"hot": 1000, "tiny": 30} | {f"s{i}": 400 for i in range(19)}
+    weight = {"hot": 0.1396, "tiny": 0.0002} | {f"s{i}": 0.8602 / 19 for i in range(19)}
+    docs = spark.createDataFrame(
+        [(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string"
+    )
+    weights = spark.createDataFrame(list(weight.items()), "source string, weight double")
+    got = sorted(mixing.mix(docs, weights, block_rows=1).collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(sum(sizes.values())))
+    assert farthest(got, weight, 1) < 1 + 1e-6
