@@ -129,3 +129,15 @@ def test_true_weights_without_rounding_to_slots(spark):
     got = sorted(mixing.mix(docs, weights, block_rows=1).collect(), key=lambda r: r.position)
     assert [r.position for r in got] == list(range(sum(sizes.values())))
     assert farthest(got, weight, 1) < 1 + 1e-6
+
+
+def test_any_number_of_sources(spark):
+    sizes = {"hot": 900, None: 40} | {f"s{i}": 1 + i % 9 for i in range(600)}
+    docs = spark.createDataFrame(
+        [(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string"
+    )
+    got = mixed(docs, block_rows=2)
+    assert [r.position for r in got] == list(range(sum(sizes.values())))
+    assert sizes == Counter(r.source for r in got)
+    # In bundles a source is less than two blocks from its target, one by itself less than one.
+    assert farthest(got, {s: n**0.5 for s, n in sizes.items()}, 2) < 2
