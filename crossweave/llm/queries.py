@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from crossweave.llm import (
     bpe_transducer,
+    hard_negatives,
     html_text,
     language_id,
     mixing,
     ngram_join,
     quality_mil,
     secret_scan,
+    sharding,
     simhash,
+    token_alignment,
     token_counts,
     topk_search,
 )
@@ -30,6 +34,7 @@ SEARCHED = 100
 NEAR_BITS = 3
 #: A text is good from this score on.
 GOOD = 0.3
+SHARDS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +98,37 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_and_count(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document goes, told from the shuffled documents themselves."""
+    text = F.coalesce("row.text", F.lit(""))
+    return sharding.shuffled(table(spark, sf_dir, "documents"), shards=SHARDS).select(
+        F.col("row.doc_id").alias("doc_id"),
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit(sharding.LAW).alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row bears the label after its own."""
+    label = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mine(
+        vectors, every=100, positives=5, negatives=10, low=30, high=90
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -106,5 +142,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_quality_mil,
         op10_secret_scan,
+        op11_token_alignment,
+        op12_sharding,
+        op13_hard_negatives,
     )
 }

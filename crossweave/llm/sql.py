@@ -87,8 +87,32 @@ OP3 = r"""
     FROM words w LEFT JOIN sizes USING (n) LEFT JOIN reach r ON r.a = w.n LEFT JOIN words o ON o.n = r.b
     GROUP BY w.n, w.doc_id"""
 
+OP13 = """
+    WITH v AS (
+      SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    rows AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, label, q) AS n, * FROM v),
+    scored AS MATERIALIZED (
+      SELECT a.n AS a, b.n AS b, a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same,
+             CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM rows a JOIN rows b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+      WHERE a.vec_id % 100 = 0),
+    positive AS (
+      SELECT * FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id,
+           CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id, s.b) AS INTEGER) AS rank,
+           s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM positive p JOIN scored s ON p.a = s.a AND NOT s.same
+     AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+    QUALIFY rank <= 10"""
+
 SQL: dict[str, str] = {
     "op3_ngram_join": OP3,
     "op4_topk_search": OP4,
     "op10_secret_scan": OP10,
+    "op13_hard_negatives": OP13,
 }
