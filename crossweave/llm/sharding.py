@@ -110,11 +110,17 @@ def shuffled(
 
 
 def write_shards(
-    records: DataFrame, path: str, *, shards: int, seed: int = 0, mode: str = "errorifexists"
+    records: DataFrame,
+    path: str,
+    *,
+    shards: int,
+    seed: int = 0,
+    bucket_bytes: int = BUCKET_BYTES,
+    mode: str = "errorifexists",
 ) -> None:
     """Write the shards as Parquet in folders ``shard=<n>``: (row, slot), files sorted by slot.
 
     A bucket lies in one shard or a few, so a task writes few files.
     """
-    ready = shuffled(records, shards=shards, seed=seed)
+    ready = shuffled(records, shards=shards, seed=seed, bucket_bytes=bucket_bytes)
     ready.sortWithinPartitions("shard", "slot").write.mode(mode).partitionBy("shard").parquet(path)

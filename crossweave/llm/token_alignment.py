@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,8 +31,10 @@ from crossweave.workspace import Workspace
 by_value(__name__)
 
 #: Bytes of text aligned at once, and overlaps of a chunk; a longer document is a batch or chunk by itself.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 CHUNK_LINKS = 3_000_000
+# The ranked tokenizer can't take longer runs of white space.
+LONG_SPACE = 20_000
 # Chunks of one task are numbered below this.
 CHUNKS_OF_TASK = 1 << 32
 
@@ -45,12 +48,28 @@ COUNTED = (
 )
 
 
+def _ids_are_ranks(spec: dict) -> bool:
+    """Whether a byte-level vocabulary merges in the order of its ids and splits by the common pattern, so
+    that merging by ranks gives the same tokens."""
+    model, split = spec["model"], spec["pre_tokenizer"]
+    plain = split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"]["".join(pair)] for pair in pairs]
+    bytes_first = {model["vocab"].get(sign) for sign in printable_bytes()} == set(range(256))
+    return plain and spec["normalizer"] is None and bytes_first and made == list(range(256, 256 + len(made)))
+
+
+def _has_long_space(text: str) -> bool:
+    return any(len(gap) >= LONG_SPACE for gap in re.split(r"\S+", text))
+
+
 class Tokenizers:
     """The two libraries' tokenizers and the bytes of their tokens."""
 
-    def __init__(self, a_file: str, b_file: str):
+    def __init__(self, a_file: str, a_pattern: str, b_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         import tokenizers
 
         self.a = tokenizers.Tokenizer.from_file(a_file)
@@ -58,11 +77,18 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         value = {sign: byte for byte, sign in enumerate(printable_bytes())}
         with open(a_file, encoding="utf-8") as source:
-            vocabulary = json.load(source)["model"]["vocab"]
+            spec = json.load(source)
+        vocabulary = spec["model"]["vocab"]
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, number in vocabulary.items():
             if all(sign in value for sign in token):
                 self.a_bytes[number] = bytes(value[sign] for sign in token)
+        self.ranked = None
+        if _ids_are_ranks(spec):
+            ranks = {token: i for i, token in enumerate(self.a_bytes) if token}
+            self.ranked = tiktoken.Encoding(
+                "a", pat_str=a_pattern, mergeable_ranks=ranks, special_tokens={}
+            )
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.a_lengths = np.array([len(t) for t in self.a_bytes], dtype=np.int64)
         self.b_lengths = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
@@ -78,21 +104,28 @@ class Tokenizers:
             return bytes([int(piece[3:-1], 16)])
         return piece.replace("▁", " ").encode("utf-8")
 
+    def _a_ids(self, texts: list[str]) -> Iterator[list[int]]:
+        """Side A's ids; by ranks, which is several times as fast, where that gives the same."""
+        for text in texts:
+            if self.ranked and (len(text) < LONG_SPACE or not _has_long_space(text)):
+                yield self.ranked.encode_ordinary(text)
+            else:
+                yield self.a.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides; none for texts that either side doesn't give back byte by byte."""
         wanted = [i for i, text in enumerate(texts) if text]
         of_a: list[list[int]] = [[] for _ in texts]
         of_b: list[list[int]] = [[] for _ in texts]
         spaced = [" " + texts[i] for i in wanted]
-        encoded_a = self.a.encode_batch_fast(spaced, add_special_tokens=False)
         encoded_b = self.b.encode([texts[i] for i in wanted], num_threads=1)
-        for i, text, a, b in zip(wanted, spaced, encoded_a, encoded_b, strict=True):
-            data, a_ids = text.encode("utf-8"), a.ids
+        for i, text, a, b in zip(wanted, spaced, self._a_ids(spaced), encoded_b, strict=True):
+            data = text.encode("utf-8")
             if (
-                b"".join(map(self.a_bytes.__getitem__, a_ids)) == data
+                b"".join(map(self.a_bytes.__getitem__, a)) == data
                 and b"".join(map(self.b_bytes.__getitem__, b)) == data
             ):
-                of_a[i], of_b[i] = a_ids, b
+                of_a[i], of_b[i] = a, b
         return of_a, of_b
 
 
@@ -190,20 +223,21 @@ def _batches(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
         yield ids, texts
 
 
-def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
+def align(docs: DataFrame, a_file: str, a_pattern: str, b_file: str) -> DataFrame:
     """For every row of ``docs(doc_id, text)``: the numbers of tokens, groups and links, ``groups`` as
     ``a1,a2|b1;a3|b2,b3``, the document's distinct linked ``pairs`` as a id * size of B + b id with how many
     ``times`` each, and the ``chunk`` it lies in.
 
-    ``a_file`` is a byte-level vocabulary of the tokenizers library, which gets a space before the text, and
-    ``b_file`` a sentencepiece model, which adds it itself.  Null and empty texts, and such that either side doesn't give
+    ``a_file`` is a byte-level vocabulary of the tokenizers library, which gets a space before the text;
+    ``a_pattern`` is how such vocabularies split texts.  ``b_file`` is a sentencepiece model, which adds the space itself.  Null and empty texts, and such that either side doesn't give
     back byte by byte, have no tokens.  Rows that share an id are documents of their own; a null id
     stays null.  Other columns are ignored, and an empty table gives an empty result.
     """
     columns_named(docs, "doc_id", "text")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = kept("alignment", (a_file, b_file), lambda: Tokenizers(a_file, b_file))
+        files = (a_file, a_pattern, b_file)
+        tools = kept("alignment", files, lambda: Tokenizers(*files))
         chunk, links = TaskContext.get().partitionId() * CHUNKS_OF_TASK, 0
         for batch in batches:
             for ids, texts in _batches(batch):
@@ -250,7 +284,7 @@ def _add_counts(documents: pa.Table, counts: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(found[n], pa.int64()) if n in found else documents[n] for n in columns})
 
 
-def align_and_count(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
+def align_and_count(docs: DataFrame, a_file: str, a_pattern: str, b_file: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for every row of ``docs``.
 
     ``n_best`` counts the links whose pair of ids is held by the most documents of all pairs of its A id, ties
@@ -262,7 +296,7 @@ def align_and_count(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     ws = Workspace(docs.sparkSession)
     width = sentencepiece.SentencePieceProcessor(model_file=b_file).get_piece_size()
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
-    found = align(docs, a_file, b_file).withColumn("groups_sha256", digest).drop("groups")
+    found = align(docs, a_file, a_pattern, b_file).withColumn("groups_sha256", digest).drop("groups")
     aligned = ws.save(found, "aligned").df
     counts = ws.save(pair_counts(aligned, width), "counts").df
     # Every chunk asks for its pairs once; only documents without tokens have none.
