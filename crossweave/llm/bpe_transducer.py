@@ -21,20 +21,22 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crossweave.llm.splitting import Splitter
 from crossweave.llm.worker import by_value, columns_named, kept
 
 by_value(__name__)
 
-# Bounds of what a worker keeps; each table starts anew when it is full.
-KEPT_STATES = 200_000
-KEPT_PAIRS = 300_000
-KEPT_PIECES = 400_000
+# Bounds of what a worker keeps: some 90, 15 and 30 MB, with 30 MB for the vocabulary itself.
+KEPT_STATES = 130_000
+KEPT_PAIRS = 120_000
+KEPT_PIECES = 80_000
 KEPT_LENGTH = 64
+# Marks of pieces met once; a piece is kept from the second time on.
+MARKS = 1 << 23
 NO_RANK = 1 << 60
 # Rows whose ids are held together.
 ROWS_AT_ONCE = 500
@@ -60,19 +62,34 @@ class State:
 class Pieces(dict):
     """Packed tokens of pieces met before; a new piece goes through the transducer.
 
-    When full, the table becomes the elder one and a new one begins; pieces still in use come back.
+    Pieces met once leave only a mark, as most never come again.  When full, the table becomes the
+    elder one and a new one begins; pieces still in use come back.
     """
 
     def __init__(self, machine: Transducer):
         super().__init__()
         self.machine = machine
         self.elder: dict[str, bytes] = {}
+        self.marks, self.marked = bytearray(MARKS // 8), 0
+
+    def _met(self, piece: str) -> bool:
+        at = hash(piece) % MARKS
+        bit = 1 << (at & 7)
+        if self.marks[at >> 3] & bit:
+            return True
+        if self.marked >= MARKS // 4:
+            self.marks, self.marked = bytearray(MARKS // 8), 0
+        self.marks[at >> 3] |= bit
+        self.marked += 1
+        return False
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.elder.get(piece)
         if ids is None:
             packed = self.machine.packed
             ids = b"".join([packed[i] for i in self.machine.piece(piece.encode("utf-8"))])
+            if len(piece) > KEPT_LENGTH or not self._met(piece):
+                return ids
         if len(piece) <= KEPT_LENGTH:
             if len(self) >= KEPT_PIECES:
                 self.elder = dict(self)
@@ -88,7 +105,7 @@ class Transducer:
         self.ranks = read_ranks(file)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
-        self.pieces = regex.compile(pattern)
+        self.pieces = Splitter(pattern)
         # The tree of token bytes: (node << 8 | byte) -> node, the token that ends at a node, and
         # whether any goes on from it.
         self.child: dict[int, int] = {}
@@ -107,13 +124,22 @@ class Transducer:
             self.token[node] = token
         self.pairs: dict[int, bool] = {}
         self.known = Pieces(self)
-        self._anew()
-
-    def _anew(self) -> None:
         self.states: dict[tuple, State] = {}
         # A guess: (node, token before the open one or -1, tokens not emitted, the last included).
         self.start = self._state(((0, -1, ()),))
 
+    def _forget(self) -> None:
+        """Keep the half of the states nearest to the start, which most pieces come through."""
+        near = {self.start: None}
+        for state in (queue := [self.start]):
+            for _, after in state.on.values():
+                if after not in near and len(near) < KEPT_STATES // 2:
+                    near[after] = None
+                    queue.append(after)
+        for state in near:
+            state.on = {byte: move for byte, move in state.on.items() if move[1] in near}
+        self.states = {state.guesses: state for state in near}
+
     def _state(self, guesses: tuple) -> State:
         state = self.states.get(guesses)
         if state is None:
@@ -182,17 +208,14 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.states) > KEPT_STATES:
-            self._anew()
         out: list[int] = []
         state = self.start
         for byte in data:
             move = state.on.get(byte) or self._move(state, byte)
             out.extend(move[0])
             state = move[1]
-            if len(self.states) > 4 * KEPT_STATES:
-                # Within one very long piece: forget the other states, go on from this one.
-                self._anew()
+            if len(self.states) > KEPT_STATES:
+                self._forget()
                 state = self._state(state.guesses)
         for node, _, pending in state.guesses:
             if node == 0:
@@ -327,8 +350,7 @@ def with_ids(docs: DataFrame, file: str, pattern: str) -> DataFrame:
     )
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A coder of the task's own: among other stages, its tables don't stay in the worker.
-        machine, decoder = _new_coder(file, pattern)
+        machine, decoder = _coder(file, pattern)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)

@@ -35,7 +35,11 @@ AT_ONCE = 30_000
 
 # Elements of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe template svg math object select".split())
+RAW = set("script style textarea title iframe xmp noframes noembed".split())
+# Left out with what is in them, if they are closed: otherwise what follows is read.
+LEFT_OUT = set("noscript template svg object select annotation annotation-xml".split())
+# What can be in a head; anything else ends it.
+IN_HEAD = RAW | set("html head meta link base noscript template".split())
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol "
@@ -111,8 +115,26 @@ def tokens_of(attributes: str) -> int:
     return bits
 
 
+def end_of(html: str, at: int, name: str) -> int:
+    """Where an element that is left out ends, the ones of its name within it counted; ``at`` if nowhere."""
+    depth, place = 1, at
+    for found in re.compile(rf"<(/?){name}\b[^>]*?(/?)>", re.I).finditer(html, at):
+        if found[1]:
+            depth -= 1
+            place = found.end()
+        elif not found[2]:
+            depth += 1
+        if not depth:
+            return place
+    # Not all are closed: the last end tag ends it.
+    return place
+
+
 def parse(html: str) -> Page:
-    """The blocks and runs of text of a page; scripts, styles, the head and markup are left out."""
+    """The blocks and runs of text of a page; scripts, styles, the head and markup are left out.
+
+    As in browsers, an element or text that can't be in a head ends it; a self-closed svg is empty.
+    """
     page = Page()
     stack = [("", 0)]
     run: list[str] = []
@@ -122,7 +144,8 @@ def parse(html: str) -> Page:
         nonlocal linked
         if run:
             text = " ".join(unescape("".join(run)).split())
-            if text and not any(name == "head" for name, _ in stack):
+            if text:
+                close({"head"}, set())
                 node = page.add(stack[-1][1], TAGS.index("text"), 0, min(linked, len(text)))
                 page.texts[node] = text
             run.clear()
@@ -158,12 +181,20 @@ def parse(html: str) -> Page:
         name = (found[2] or found[4] or "").lower()
         if not name:
             continue
+        if name not in IN_HEAD and any(open_name == "head" for open_name, _ in stack):
+            flush()
+            close({"head"}, set())
         if name == "a":
             links += 1
         elif name in RAW:
+            # Their text is no markup, and goes on to the end of the page where nothing closes them.
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             run.append(" ")
+        elif name in LEFT_OUT:
+            if not (found[3] or found[5] or "").rstrip().endswith("/"):
+                at = end_of(html, at, name)
+            run.append(" ")
         elif name in VOID:
             if name == "hr":
                 flush()
@@ -174,8 +205,6 @@ def parse(html: str) -> Page:
             links = 0
             if stack[-1][0] == "p":
                 stack.pop()
-            if name == "body":
-                close({"head"}, set())
             if name in ENDS:
                 close(*ENDS[name])
             attributes = found[3] or found[5] or ""

@@ -7,6 +7,8 @@ on windows of a bounded sample of labelled rows, and small enough to travel with
 
 from __future__ import annotations
 
+import random
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +21,11 @@ from crossweave.llm.worker import by_value, columns_named
 
 by_value(__name__)
 
-#: The bound of the training sample: about so many rows of each language, so many windows of each.
+#: The bound of the training sample: about so many rows of each language, and in all, so many windows of each.
 ROWS_PER_LANGUAGE = 300
+SAMPLED_ROWS = 20_000
 WINDOWS_PER_ROW = 3
 TRAINED_CHARACTERS = 80
-MOST_LANGUAGES = 500
 UNITS = 8
 STEPS = 240
 BATCH = 96
@@ -31,7 +33,17 @@ RATE = 0.02
 #: Bytes of a window when predicting, and windows read side by side.
 WINDOW = 128
 SIDE_BY_SIDE = 2048
+# Probabilities held at once.
+AT_ONCE = 1 << 22
 UNKNOWN = "und"
+#: The label of windows in no language, where a network learns to tell them apart; no language sorts after it.
+NO_LANGUAGE = "\U0010ffff"
+#: So many windows of letters drawn at random are learned as no language.
+RANDOM_WINDOWS = 900
+# First and last letters of alphabets that windows are drawn from.
+ALPHABETS = (
+    "az", "AZ", "αω", "ая", "את", "عي", "अह", "กฮ", "ぁん", "ァヶ", "一龥", "가힣",
+)
 
 
 @dataclass
@@ -192,7 +204,7 @@ class Network:
             for at in range(0, len(data), WINDOW):
                 held.append(data[at : at + WINDOW])
                 owner.append(i)
-                if len(held) == SIDE_BY_SIDE:
+                if len(held) >= min(SIDE_BY_SIDE, AT_ONCE // len(self.languages) + 1):
                     self._read(held, np.array(owner), total)
                     held, owner = [], []
         if held:
@@ -234,16 +246,18 @@ def train(windows: list[tuple[bytes, str]], seed: int = 0) -> Network | None:
     languages = sorted({label for _, label in windows})
     if not languages:
         return None
-    random = np.random.default_rng(seed)
-    network = Network.start(languages, UNITS, random)
+    rng = np.random.default_rng(seed)
+    network = Network.start(languages, UNITS, rng)
     number = {name: i for i, name in enumerate(languages)}
-    by_language = [[w for w, label in windows if label == name] for name in languages]
+    by_language: list[list[bytes]] = [[] for _ in languages]
+    for w, label in windows:
+        by_language[number[label]].append(w)
     first = [np.zeros_like(w) for w in network.weights]
     second = [np.zeros_like(w) for w in network.weights]
     for step in range(1, STEPS + 1):
         # Languages alike often, whatever their share of the rows.
-        picked = random.integers(len(languages), size=BATCH)
-        held = [by_language[i][random.integers(len(by_language[i]))] for i in picked]
+        picked = rng.integers(len(languages), size=BATCH)
+        held = [by_language[i][rng.integers(len(by_language[i]))] for i in picked]
         codes, active, order = side_by_side([np.frombuffer(h, dtype=np.uint8) for h in held])
         truth = np.array([number[languages[i]] for i in picked])[order]
         _, gradients = network.step(codes, active, truth)
@@ -262,21 +276,26 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def labelled_windows(labelled: DataFrame) -> list[tuple[bytes, str]]:
-    """A bounded sample of ``labelled(doc_id, text, lang)``: windows from all over its texts."""
-    counts = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    """A bounded sample of ``labelled(doc_id, text, lang)``: windows from all over its texts.
+
+    The more languages, the fewer rows of each; beyond SAMPLED_ROWS languages some have no row in the sample.
+    """
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    languages = counts.count()
+    if not languages:
         return []
     fine = 1_000_000
-    share = F.create_map(
-        *[
-            F.lit(x)
-            for r in counts
-            for x in (r["lang"], min(fine, fine * ROWS_PER_LANGUAGE // r["count"] + 1))
-        ]
-    )
+    per_language = max(1, min(ROWS_PER_LANGUAGE, SAMPLED_ROWS // languages))
     chance = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(fine))
+    # Chosen by id and language alone, so that no texts are dealt out.
+    chosen = (
+        labelled.select("doc_id", "lang")
+        .join(counts, "lang")
+        .where(chance < F.least(F.lit(fine), F.expr(f"{fine}L * {per_language} div rows + 1")))
+        .select("doc_id", "lang")
+        .distinct()
+        .limit(2 * max(SAMPLED_ROWS, per_language * min(languages, SAMPLED_ROWS)))
+    )
     room = F.greatest(F.length("text") - TRAINED_CHARACTERS, F.lit(0)) + 1
     places = F.array(
         *[
@@ -289,9 +308,10 @@ def labelled_windows(labelled: DataFrame) -> list[tuple[bytes, str]]:
         ]
     )
     rows = (
-        labelled.where(chance < share[F.col("lang")])
+        # The limit above bounds what is broadcast.
+        labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
         .select("doc_id", "lang", F.explode(places).alias("window"))
-        .limit(2 * ROWS_PER_LANGUAGE * WINDOWS_PER_ROW * len(counts))
+        .limit(2 * WINDOWS_PER_ROW * SAMPLED_ROWS)
         .collect()
     )
     return sorted((r["window"].encode("utf-8"), r["lang"]) for r in rows)
@@ -316,25 +336,68 @@ def predicted(text: Column, network: Network | None) -> Column:
     return read(lettered)
 
 
-def learned(docs: DataFrame, parts: int, part: int) -> Network | None:
-    """A network from the rows of ``docs(doc_id, text, lang)`` that have a language and are not held out."""
+def learnable(docs: DataFrame, parts: int, part: int) -> DataFrame:
+    """The rows of ``docs(doc_id, text, lang)`` that have a language and are not held out."""
     columns_named(docs, "doc_id", "text", "lang")
-    labelled = docs.where(
+    return docs.where(
         F.col("lang").isNotNull()
         & F.col("doc_id").isNotNull()
         & ~held_out(F.col("doc_id"), parts, part)
         & F.col("text").rlike(r"\p{L}")
     ).select("doc_id", "text", "lang")
-    return train(labelled_windows(labelled))
+
+
+def random_windows(windows: list[tuple[bytes, str]], seed: int = 0) -> list[tuple[bytes, str]]:
+    """Windows in no language: words of random letters, half of them small Latin ones, the others of the
+    alphabets that ``windows`` hardly use."""
+    draw = random.Random(seed)
+    seen = Counter(c for data, _ in windows for c in data.decode("utf-8", "replace"))
+    rare = sum(seen.values()) / 1000
+    strange = [
+        (ord(first), ord(last))
+        for first, last in ALPHABETS
+        if first in "aA" or sum(n for c, n in seen.items() if first <= c <= last) < rare
+    ]
+    found = []
+    for n in range(RANDOM_WINDOWS if windows else 0):
+        low, high = strange[0] if n % 2 else draw.choice(strange)
+        text, size = "", draw.randint(10, TRAINED_CHARACTERS)
+        while len(text) < size:
+            word = "".join(chr(draw.randint(low, high)) for _ in range(draw.randint(1, 9)))
+            text += (word.title() if draw.random() < 0.2 else word) + draw.choice("   .,\n")
+        found.append((text[:size].encode("utf-8"), NO_LANGUAGE))
+    return found
+
+
+def known_share(text: Column, network: Network | None) -> Column:
+    """The share of a text, in probability, that is in one of the learned languages; 0 without letters."""
+
+    @F.pandas_udf("double")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            if network is None:
+                yield pd.Series(np.zeros(len(texts)))
+                continue
+            odds = network.probabilities([(t or "").encode("utf-8") for t in texts])
+            own = [i for i, name in enumerate(network.languages) if name != NO_LANGUAGE]
+            yield pd.Series(odds[:, own].sum(axis=1))
+
+    return read(F.when(text.rlike(r"\p{L}"), text))
 
 
 def in_known_language(docs: DataFrame, *, parts: int, part: int, least: float) -> DataFrame:
-    """The rows of ``docs`` whose text is in a language learned from them, with a score of at least
-    ``least``; null texts and texts without a letter go.  All columns stay as they are."""
-    network = learned(docs, parts, part)
-    known = docs.withColumn("_language", predicted(F.col("text"), network))
-    sure = (F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least)
-    return known.where(sure).select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs(doc_id, text, lang)`` that are written in languages learned from them.
+
+    Besides the labelled rows that are not held out, the network learns words of random letters as no
+    language.  Rows stay whose known share is at least ``least``; null texts and texts without a letter go, and so
+    does every row if there is nothing to learn from.  An empty table gives an empty result.  All
+    columns, whatever their names, stay as they are.
+    """
+    windows = labelled_windows(learnable(docs, parts, part))
+    network = train(windows + random_windows(windows))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    read = docs.select(whole.alias("row"), known_share(F.col("text"), network).alias("share"))
+    return read.where((F.col("share") >= least) & (F.col("share") > 0)).select("row.*")
 
 
 def identify(docs: DataFrame, *, parts: int, part: int) -> DataFrame:
@@ -346,9 +409,10 @@ def identify(docs: DataFrame, *, parts: int, part: int) -> DataFrame:
     nothing to learn from, get ``und`` and 0.  All rows and other columns stay; columns of these
     three names are replaced.  An empty table gives an empty result.
     """
-    network = learned(docs, parts, part)
-    out = held_out(F.col("doc_id"), parts, part)
+    network = train(labelled_windows(learnable(docs, parts, part)))
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     return docs.select(
-        *own, out.alias("held_out"), predicted(F.col("text"), network).alias("_read")
-    ).select(*own, "held_out", "_read.*")
+        F.struct(*own).alias("row"),
+        held_out(F.col("doc_id"), parts, part).alias("held_out"),
+        predicted(F.col("text"), network).alias("read"),
+    ).select("row.*", "held_out", "read.*")

@@ -1,14 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-Each source's rows, in an order of their own, form blocks.  Time is a row of slots, one
+Each source's rows, in an order of its own, form blocks.  Time is a row of slots, one
 block each.  In the ideal, sources flow at their weight over the weights of those that have not
 ended.  With v the flow per weight so far, source i's k-th block (from 0) flows from v = k / w[i] to
 (k + 1) / w[i], and slot t ends at the v at which t + 1 blocks in all have flown.  A block may run once it
 flows, and the one due first does, which meets all windows: at every slot each source is less than one
 block from its target, also where sources end.  Nothing is rounded and no period is kept.
 
-Beyond MOST_ALONE sources the lighter ones are bundled with those of like weight (within a factor of
-2); a bundle is scheduled like a source, and its blocks are dealt to its sources by the middles of their flow.
+That holds for any number of sources: every slot looks at each of them, so work grows with slots x sources.
 """
 
 from __future__ import annotations
@@ -22,11 +21,6 @@ from crossweave.workspace import Workspace
 
 #: A source without a positive weight gets one slot in so many.
 PERIOD = 1000
-#: Up to so many sources are scheduled each by itself; of more, the HEAVIEST are, and the others in bundles.
-MOST_ALONE = 256
-HEAVIEST = 128
-# Bundles are told apart down to this power of 2 of the greatest weight.
-LIGHTEST = -100
 # Slots worked out in one list, and in one row.
 PIECE = 1000
 PIECES = 64
@@ -34,7 +28,6 @@ PIECES = 64
 GROUP_ROWS = 512
 # Groups whose offsets are summed together; sums of these are summed in turn.
 SPAN = 64
-FAR = 2**62
 # Slots whose lacking rows are summed together.
 LACK_SPAN = 4096
 # Relative room for rounding when flows are compared.
@@ -81,167 +74,14 @@ def _ranked(docs: DataFrame, ws: Workspace, seed: int) -> tuple[DataFrame, DataF
     return ranked, counts.groupBy("_src").agg(F.sum("_n").alias("rows"))
 
 
-def _shares(sources: DataFrame, weights: DataFrame, block_rows: int, period: int) -> DataFrame:
-    """One row: ``all``, the sources as (src, blocks, short, share), sorted, and ``stretches``, the periods
-    in which a stretch may begin.  Short is what the last block lacks, share the whole slots per period."""
-    asked = weights.select(_source_key().alias("_src"), F.col("weight").cast("double"))
-    asked = asked.groupBy("_src").agg(F.max("weight").alias("weight"))
-    weight = F.when(
-        F.isnan("weight") | F.col("weight").isNull() | (F.col("weight") <= 0), F.lit(0.0)
-    ).otherwise(F.col("weight"))
-    total = F.aggregate("all", F.lit(0.0), lambda a, s: a + s["weight"])
-    blocks = F.ceil(F.col("rows") / block_rows).cast("long")
-    one = F.struct(
-        F.col("_src").alias("src"),
-        blocks.alias("blocks"),
-        (blocks * block_rows - F.col("rows")).alias("short"),
-        weight.alias("weight"),
-    )
-    ends = F.transform("all", lambda s: F.floor(s["blocks"] / s["share"]).cast("long"))
-    starts = F.array_sort(
-        F.array_distinct(
-            F.concat(F.array(F.lit(0).cast("long")), ends, F.transform(ends, lambda e: e + 1))
-        )
-    )
-    return (
-        sources.join(asked, "_src", "left")
-        .groupBy()
-        .agg(F.array_sort(F.collect_list(one)).alias("all"))
-        .where(F.size("all") > 0)
-        .select(
-            F.transform(
-                "all",
-                lambda s: F.struct(
-                    s["src"].alias("src"),
-                    s["blocks"].alias("blocks"),
-                    s["short"].alias("short"),
-                    F.greatest(
-                        F.lit(1),
-                        F.coalesce(F.round(s["weight"] / total * period), F.lit(1)).cast("int"),
-                    ).alias("share"),
-                ),
-            ).alias("all")
-        )
-        .select("all", starts.alias("stretches"))
-    )
-
-
-def _turns(shares: DataFrame) -> DataFrame:
-    """(src, stretch, k, turn, slots, base): the slot ``turn`` of a source's k-th block in each
-    period of a stretch; a stretch is named by its first period, ``base`` slots lie before it."""
-    stretches = shares.select("all", F.explode("stretches").alias("stretch")).select(
-        "stretch",
-        F.aggregate(
-            "all",
-            F.lit(0).cast("long"),
-            lambda a, s: a + F.least(s["blocks"], s["share"] * F.col("stretch")),
-        ).alias("base"),
-        F.filter(
-            F.transform(
-                "all",
-                lambda s: F.struct(
-                    s["src"].alias("src"),
-                    F.least(s["share"].cast("long"), s["blocks"] - s["share"] * F.col("stretch"))
-                    .alias("m"),
-                ),
-            ),
-            lambda s: s["m"] > 0,
-        ).alias("live"),
-    )
-    slots = F.aggregate("live", F.lit(0).cast("long"), lambda a, s: a + s["m"])
-    stretches = stretches.where(F.size("live") > 0).withColumn("slots", slots)
-
-    def pick(state: Column, now: Column) -> Column:
-        """The released block with the earliest deadline, as (deadline, source, k)."""
-        size = F.col("slots")
-
-        def window(source: Column, i: Column) -> Column:
-            k = state["done"][i]
-            m = source["m"]
-            # Whole-number floor(k * M / m) and ceil((k + 1) * M / m).
-            released = (k * size - F.pmod(k * size, m)) / m <= now
-            due = (k + 1) * size + m - 1
-            deadline = ((due - F.pmod(due, m)) / m).cast("long")
-            return F.struct(
-                F.when((k < m) & released, deadline).otherwise(F.lit(FAR)).alias("deadline"),
-                i.alias("i"),
-                k.alias("k"),
-            )
-
-        return F.array_min(F.transform("live", window))
-
-    def step(state: Column, now: Column) -> Column:
-        # A list of one, so that the choice is made once.
-        return F.transform(
-            F.array(pick(state, now)),
-            lambda best: F.struct(
-                F.transform(
-                    state["done"], lambda d, i: F.when(i == best["i"], d + 1).otherwise(d)
-                ).alias("done"),
-                F.concat(
-                    state["taken"], F.array(F.struct(best["i"].alias("i"), best["k"].alias("k")))
-                ).alias("taken"),
-            ),
-        )[0]
-
-    start = F.struct(
-        F.transform("live", lambda s: F.lit(0).cast("long")).alias("done"),
-        F.array().cast("array<struct<i:int,k:bigint>>").alias("taken"),
-    )
-    times = F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)
-    return (
-        stretches.withColumn("taken", F.aggregate(times, start, step, lambda s: s["taken"]))
-        .select("stretch", "base", "slots", "live", F.posexplode("taken").alias("turn", "one"))
-        .select(
-            F.col("live")[F.col("one.i")]["src"].alias("src"),
-            "stretch",
-            F.col("one.k").alias("k"),
-            F.col("turn").cast("long").alias("turn"),
-            "slots",
-            "base",
-        )
-    )
-
-
-def _by_periods(sources: DataFrame, weights: DataFrame, block_rows: int, period: int, ws: Workspace) -> DataFrame:
-    """(_src, _block, slot) by weights in whole slots of a period."""
-    shares = ws.save(_shares(sources, weights, block_rows, period), "shares").df
-    turns = ws.save(_turns(shares), "turns").df.withColumnRenamed("src", "_src")
-    known = shares.select(F.explode("all").alias("one"), "stretches").select(
-        F.col("one.src").alias("_src"), "one.share", "one.blocks", "stretches"
-    )
-    own = F.expr("_block div share")
-    return (
-        known.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumns(
-            {
-                "_period": own,
-                "stretch": F.array_max(F.filter("stretches", lambda s: s <= own)),
-                "k": F.col("_block") - own * F.col("share"),
-            }
-        )
-        .join(turns, ["_src", "stretch", "k"])
-        .select(
-            "_src",
-            "_block",
-            (F.col("base") + (F.col("_period") - F.col("stretch")) * F.col("slots") + F.col("turn")).alias("slot"),
-        )
-    )
-
-
 def _targets(sources: DataFrame, weights: DataFrame, block_rows: int) -> DataFrame:
-    """(_src, blocks, weight, child): exact weights, and what each source is scheduled as."""
+    """(_src, blocks, weight) with exact weights."""
     asked = weights.select(_source_key().alias("_src"), F.col("weight").cast("double"))
     sound = ~F.isnan("weight") & (F.col("weight") > 0) & (F.col("weight") < float("inf"))
     asked = asked.where(sound).groupBy("_src").agg(F.max("weight").alias("weight"))
     # Sums in a fixed order, so that all runs have the same.
     all_rows = W.orderBy("_src").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     total = F.coalesce(F.sum("weight").over(all_rows), F.lit(1.0))
-    heaviest = W.orderBy(F.desc("weight"), "_src")
-    size = F.greatest(
-        F.floor(F.log2(F.col("weight") / F.max("weight").over(all_rows))), F.lit(LIGHTEST)
-    ).cast("string")
-    alone = (F.count(F.lit(1)).over(all_rows) <= MOST_ALONE) | (F.row_number().over(heaviest) <= HEAVIEST)
     return (
         sources.join(asked, "_src", "left")
         .select(
@@ -249,18 +89,16 @@ def _targets(sources: DataFrame, weights: DataFrame, block_rows: int) -> DataFra
             F.ceil(F.col("rows") / block_rows).cast("long").alias("blocks"),
             F.coalesce("weight", total / PERIOD).alias("weight"),
         )
-        # Keys of sources begin with "=" or are "null".
-        .withColumn("child", F.when(alone, F.col("_src")).otherwise(F.concat(F.lit("~"), size)))
     )
 
 
-def _flow(targets: DataFrame, *by: str) -> DataFrame:
-    """For sources flowing together, the pieces (*by, first, last, v, t, rate) between their ends, of at
+def _flow(targets: DataFrame) -> DataFrame:
+    """The pieces (first, last, v, t, rate) between the ends of sources, of at
     most PIECE slots: after s slots, first <= s <= last, the flow per weight is v + (s - t) / rate."""
     end = F.col("blocks") / F.col("weight")
-    up = W.partitionBy(*by).orderBy("end", "_src")
+    up = W.orderBy("end", "_src")
     to_here = up.rowsBetween(W.unboundedPreceding, W.currentRow)
-    after = W.partitionBy(*by).orderBy(F.desc("end"), F.desc("_src")).rowsBetween(W.unboundedPreceding, -1)
+    after = W.orderBy(F.desc("end"), F.desc("_src")).rowsBetween(W.unboundedPreceding, -1)
     ends = (
         targets.withColumn("end", end)
         .withColumn("live", F.coalesce(F.sum("weight").over(after), F.lit(0.0)))
@@ -271,10 +109,10 @@ def _flow(targets: DataFrame, *by: str) -> DataFrame:
     )
     low, high = F.floor("t") + 1, F.floor("to")
     return (
-        ends.select(*by, "v", "t", (F.col("live") + F.col("weight")).alias("rate"), low.alias("low"), high.alias("high"))
+        ends.select("v", "t", (F.col("live") + F.col("weight")).alias("rate"), low.alias("low"), high.alias("high"))
         .where(F.col("low") <= F.col("high"))
         .select("*", F.explode(F.sequence("low", "high", F.lit(PIECE).cast("long"))).alias("first"))
-        .select(*by, "first", F.least(F.col("first") + PIECE - 1, "high").alias("last"), "v", "t", "rate")
+        .select("first", F.least(F.col("first") + PIECE - 1, "high").alias("last"), "v", "t", "rate")
     )
 
 
@@ -283,33 +121,13 @@ def _flown(piece: Column, slots: Column) -> Column:
 
 
 def _children(targets: DataFrame) -> DataFrame:
-    """One row: ``all``, what is scheduled, as (child, blocks, weight, ends), sorted; ``ends`` has the flow
-    at the end of each block of a bundle, and is null for a source by itself."""
-    bundled = targets.where(F.col("child").startswith("~"))
-    piece = {n: F.col(n) for n in ("v", "t", "rate")}
-    ends = (
-        _flow(bundled, "child")
-        .select("child", F.explode(F.sequence("first", "last")).alias("s"), *piece)
-        .groupBy("child")
-        .agg(F.array_sort(F.collect_list(F.struct("s", _flown(piece, F.col("s")).alias("v")))).alias("ends"))
-        .select("child", F.transform("ends", lambda e: e["v"]).alias("ends"))
-    )
-    return (
-        targets.groupBy("child")
-        .agg(F.sum("blocks").alias("blocks"), F.max("weight").alias("weight"))
-        .join(ends, "child", "left")
-        .groupBy()
-        .agg(F.array_sort(F.collect_list(F.struct("child", "blocks", "weight", "ends"))).alias("all"))
-    )
+    """One row: ``all``, the sources as (_src, blocks, weight), sorted."""
+    return targets.groupBy().agg(F.array_sort(F.collect_list(F.struct("_src", "blocks", "weight"))).alias("all"))
 
 
 def _worked_out(asked: DataFrame) -> DataFrame:
     """(taken, done) of ``asked(all, pieces, done)``: the blocks (i, k, slot) run in the slots of
-    the pieces, by piece, and how many blocks of each child have then run."""
-
-    def flow(child: Column, k: Column) -> Column:
-        of_bundle = F.when(k == 0, F.lit(0.0)).otherwise(F.get(child["ends"], (k - 1).cast("int")))
-        return F.when(child["ends"].isNull(), k / child["weight"]).otherwise(of_bundle)
+    the pieces, by piece, and how many blocks of each source have then run."""
 
     def pick(done: Column, now: Column) -> Column:
         """The flowing block that is due first; where rounding leaves none, the first due of all."""
@@ -319,8 +137,8 @@ def _worked_out(asked: DataFrame) -> DataFrame:
             return F.when(
                 k < child["blocks"],
                 F.struct(
-                    (flow(child, k) >= now * (1 - SLACK)).alias("early"),
-                    flow(child, k + 1).alias("due"),
+                    (k / child["weight"] >= now * (1 - SLACK)).alias("early"),
+                    ((k + 1) / child["weight"]).alias("due"),
                     i.alias("i"),
                     k.alias("k"),
                 ),
@@ -378,26 +196,14 @@ def _by_weight(sources: DataFrame, weights: DataFrame, block_rows: int, ws: Work
         asked = children.crossJoin(listed).crossJoin(done)
         rows.append(ws.save(_worked_out(asked), "slots").df)
         done = rows[-1].select("done")
-    names = children.select(F.posexplode("all").alias("i", "one")).select("i", F.col("one.child").alias("child"))
+    names = children.select(F.posexplode("all").alias("i", "one")).select("i", "one._src")
     if not rows:
         return targets.select("_src", F.col("blocks").alias("_block"), F.col("blocks").alias("slot")).limit(0)
     all_rows = rows[0]
     for more in rows[1:]:
         all_rows = all_rows.unionByName(more)
-    turns = (
-        all_rows.select(F.explode(F.flatten("taken")).alias("one"))
-        .select("one.*")
-        .join(names, "i")
-        .select("child", F.col("k"), "slot")
-    )
-    blocks = targets.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    middle = (F.col("_block") + 0.5) / F.col("weight")
-    of_bundle = F.row_number().over(W.partitionBy("child").orderBy("_middle", "_src")).cast("long") - 1
-    lone, bundled = blocks.where("child = _src"), blocks.where("child <> _src").withColumn("_middle", middle)
-    known = lone.select("_src", "_block", "child", F.col("_block").alias("k")).unionByName(
-        bundled.select("_src", "_block", "child", of_bundle.alias("k"))
-    )
-    return known.join(turns, ["child", "k"]).select("_src", "_block", "slot")
+    turns = all_rows.select(F.explode(F.flatten("taken")).alias("one")).select("one.*")
+    return turns.join(names, "i").select("_src", F.col("k").alias("_block"), "slot")
 
 
 def _with_lacking(placed: DataFrame, sources: DataFrame, block_rows: int) -> DataFrame:
@@ -427,7 +233,6 @@ def mix(
     weights: DataFrame,
     *,
     block_rows: int,
-    period: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """``docs`` with ``source_block``, ``slot`` and ``position`` (all long, from 0): the mixture's order.
@@ -437,29 +242,26 @@ def mix(
     stay; a null source is a source of its own; positions are 0 to rows - 1 without gaps.  Only equal
     rows can change places between runs.  An empty table gives an empty result, and columns
     named like the three are replaced.
-
-    Weights are exact.  Only a caller that names a ``period`` gets them in whole slots of one, at least
-    one, with a source that has fewer blocks left than its share spread over the period.
     """
     columns_named(docs, "doc_id", "source")
     own = [c for c in docs.columns if c not in ("source_block", "slot", "position")]
     ws = Workspace(docs.sparkSession)
-    ranked, sources = _ranked(docs.select(*[f"`{c}`" for c in own]), ws, seed)
+    # Rows travel whole, so that no column of theirs meets one of the mixture's.
+    whole = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
+    ranked, sources = _ranked(whole, ws, seed)
     sources = ws.save(sources, "sources").df
-    if period is None:
-        placed = _by_weight(sources, weights, block_rows, ws)
-    else:
-        placed = _by_periods(sources, weights, block_rows, period, ws)
+    placed = _by_weight(sources, weights, block_rows, ws)
     placed = ws.save(_with_lacking(placed, sources, block_rows), "placed").df
     return (
         ranked.withColumn("_block", F.expr(f"_rank div {block_rows}"))
         .join(placed.withColumnsRenamed({"slot": "_slot"}), ["_src", "_block"])
         .select(
-            *[f"`{c}`" for c in own],
+            "row",
             F.col("_block").alias("source_block"),
             F.col("_slot").alias("slot"),
             (F.col("_slot") * block_rows + F.pmod("_rank", F.lit(block_rows)) - F.col("lacking")).alias("position"),
         )
+        .select("row.*", "source_block", "slot", "position")
     )
 
 

@@ -36,6 +36,7 @@ SLOTS = 1 << 24
 CHUNK = 1 << 18
 # Sets counted in 16 bits before they are passed on.
 COUNTED = 60_000
+SETS_AT_ONCE = 5000
 #: Bands of two orders each, and leaders of nodes that share one.
 BANDS = 7
 LEADERS = 4
@@ -107,7 +108,12 @@ def _first_pass(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
                     [pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema
                 )
 
-    for group in in_groups(_rows(batches)):
+    for group in (g[i : i + SETS_AT_ONCE] for g in in_groups(_rows(batches)) for i in range(0, len(g), SETS_AT_ONCE)):
+        # Counts have 16 bits: they go on before they could be full.
+        if counted + len(group) > COUNTED:
+            yield from passed_on()
+            counts[:] = 0
+            counted = 0
         sets = shingle_sets([text for *_, text in group], words, powers)
         filled = [s for s in sets if len(s)]
         if filled:
@@ -134,10 +140,6 @@ def _first_pass(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
             schema=schema,
         )
         counted += n
-        if counted >= COUNTED - 10_000:
-            yield from passed_on()
-            counts[:] = 0
-            counted = 0
     yield from passed_on()
     pa.default_memory_pool().release_unused()
 
@@ -695,18 +697,19 @@ def one_of_each(docs: DataFrame, *, percent: int, words: int) -> DataFrame:
         .join(join.named().select("node", "component"), "node")
         .groupBy("component")
         .agg(first.alias("first"))
-        .select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+        .select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
     )
     chosen = join.ws.save(chosen, "chosen").df
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = keyed.where(~wordless).join(
+    # Rows travel whole, so that no column of theirs meets one of the join's.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.where(~wordless).select(
+        F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), whole.alias("row")
+    )
+    kept = keyed.join(
         chosen,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")),
+        F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")),
         "left_semi",
     )
-    own = [f"`{c}`" for c in docs.columns]
-    once = (
-        kept.groupBy("doc_id", "_text_hash").agg(F.first(F.struct(*own)).alias("_row")).select("_row.*")
-    )
+    once = kept.groupBy("id", "hash").agg(F.first("row").alias("row")).select("row.*")
     return once.unionByName(docs.where(wordless))

@@ -212,22 +212,22 @@ def with_spans(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     columns_named(docs, "doc_id", "text")
     own = [F.col(f"`{c}`") for c in docs.columns if c != "spans"]
     found = candidates(docs, rules)
-    keyed = docs.select(*own, row_key().alias("_scan_key"))
+    # Rows travel whole, so that no column of theirs meets one of the scan's.
+    keyed = docs.select(F.struct(*own).alias("row"), "text", row_key().alias("key"))
     if found is None:
-        joined = keyed.withColumn("_scan_rules", F.array().cast("array<int>"))
+        joined = keyed.withColumn("rules", F.array().cast("array<int>"))
     else:
-        named = found.select(F.col("key").alias("_scan_key"), F.col("rules").alias("_scan_rules"))
-        joined = keyed.join(named, "_scan_key", "left")
+        joined = keyed.join(found.select("key", "rules"), "key", "left")
     text = F.coalesce("text", F.lit(""))
     empty = F.array().cast(SPANS)
     by_rule = []
     for number, rule in enumerate(rules):
         spans = _spans(text, number, rule)
         if trigram_query(rule.pattern):
-            asked = F.array_contains("_scan_rules", number)
+            asked = F.array_contains("rules", number)
             spans = F.when(asked, spans).otherwise(empty)
         by_rule.append(spans)
-    return joined.select(*own, F.array_sort(F.concat(*by_rule)).alias("spans"))
+    return joined.select("row", F.array_sort(F.concat(*by_rule)).alias("spans")).select("row.*", "spans")
 
 
 def _written(spans: Column, rules: Sequence[Rule]) -> Column:

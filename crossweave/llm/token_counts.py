@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crossweave.llm.splitting import Splitter, lowered
 from crossweave.llm.worker import by_value, columns_named, kept
 
 by_value(__name__)
@@ -46,7 +47,7 @@ class WordCounter:
         specials = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"])
+        self.words = Splitter(split["pattern"]["Regex"])
         number: dict[str, int] = {}
         symbol = lambda text: number.setdefault(text, len(number))
         signs = printable_bytes()
@@ -99,10 +100,8 @@ class WordCounter:
         return left
 
     def _plain(self, text: str) -> int:
-        # Each capital is lowered by itself: a sigma at the end of a word isn't special.
-        lowered = normalize("NFC", text).replace("Σ", "σ").lower()
         known, total = self.known, 0
-        for word in self.words.findall(lowered):
+        for word in self.words.findall(lowered(normalize("NFC", text))):
             count = known.get(word)
             if count is None:
                 count = self.word(word)

@@ -187,3 +187,22 @@ def test_pages_that_are_awkward(spark):
     told = {r.page_id: r.text for r in got.collect()}
     assert told[1] == "" and told[2] == "" and told[6] == ""
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        ("<head><title>T</title><p>Hello <b>you</b></p><p>more", ["Hello you", "more"]),
+        ("<head><title>T</title><b>bold</b> text<div>a</div>", ["bold text", "a"]),
+        ("<head><meta charset=x><title>T</title></head><body><p>one <svg/> two</p><p>three", ["one two", "three"]),
+        ("<p>a <svg viewBox='0'><text>no</text><svg></svg><path/></svg> b</p>", ["a b"]),
+        ("<p>a<svg><path> b</p><p>c", ["a b", "c"]),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p>", ["a x=1 b"]),
+        ("<p>a<select><option>b</p><p>c", ["a b", "c"]),
+        ("<p>a<object>b</object>c<noscript>d</noscript>e</p>", ["a c e"]),
+        ("<p>a</p><script>if (x) '<p>b</p>'", ["a"]),
+        ("<p>a</p><style>p {}</style><p>b</p><textarea>c<p>d", ["a", "b"]),
+    ],
+)
+def test_what_pages_leave_open(html, texts):
+    assert list(html_text.parse(html).texts.values()) == texts

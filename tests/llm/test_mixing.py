@@ -1,25 +1,28 @@
 """The mixture against the windows it must keep, and against a schedule by hand."""
 
-from collections import Counter, defaultdict
+from collections import Counter
 from fractions import Fraction
-from math import ceil
 
 from crossweave.llm import mixing
 
 
-def by_hand(blocks, shares):
-    """Earliest deadline first, slot by slot, period by period."""
-    left, order, done = dict(blocks), [], Counter()
-    while any(left.values()):
-        now = {s: min(shares[s], left[s]) for s in sorted(left) if left[s]}
-        total, given = sum(now.values()), Counter()
-        for slot in range(total):
-            ready = [s for s in now if given[s] < now[s] and given[s] * total // now[s] <= slot]
-            best = min(ready, key=lambda s: (ceil(Fraction((given[s] + 1) * total, now[s])), s))
-            order.append((best, done[best]))
-            given[best] += 1
-            done[best] += 1
-            left[best] -= 1
+def by_hand(blocks, weight):
+    """Earliest deadline first, slot by slot, in fractions: a block may run once it flows."""
+    order, done, flown, flow = [], Counter(), Counter(), Fraction(0)
+    weight = {s: Fraction(w) for s, w in weight.items()}
+    for _ in range(sum(blocks.values())):
+        room = Fraction(1)
+        while room:
+            live = [s for s in blocks if flown[s] < blocks[s]]
+            rate = sum(weight[s] for s in live)
+            step = min([room / rate] + [(blocks[s] - flown[s]) / weight[s] for s in live])
+            for s in live:
+                flown[s] += step * weight[s]
+            room, flow = room - step * rate, flow + step
+        ready = [s for s in blocks if done[s] < blocks[s] and done[s] / weight[s] < flow]
+        best = min(ready, key=lambda s: ((done[s] + 1) / weight[s], s))
+        order.append((best, done[best]))
+        done[best] += 1
     return order
 
 
@@ -29,34 +32,19 @@ def mixed(docs, **more):
 
 
 def test_schedule_equals_one_by_hand(spark):
-    rows = [(i, s) for s, n in (("a", 61), ("b", 17), (None, 9), ("c", 2)) for i in range(n)]
+    sizes = {"a": 61, "b": 17, None: 9, "c": 2, "d": 40}
+    weight = {"a": 0.37, "b": 1.13, None: 0.071, "c": 0.9, "d": 0.2}
+    rows = [(i, s) for s, n in sizes.items() for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
-    got = mixed(docs, block_rows=3, period=12, seed=5)
+    weights = spark.createDataFrame(list(weight.items()), "source string, weight double")
+    got = sorted(mixing.mix(docs, weights, block_rows=3, seed=5).collect(), key=lambda r: r.position)
     assert [r.position for r in got] == list(range(len(rows)))
-    counts = Counter(s for _, s in rows)
-    weight = {s: n**0.5 for s, n in counts.items()}
-    key = {s: "null" if s is None else "=" + s for s in counts}
-    shares = {key[s]: max(1, round(w / sum(weight.values()) * 12)) for s, w in weight.items()}
-    blocks = {key[s]: -(-n // 3) for s, n in counts.items()}
+    key = {s: "null" if s is None else "=" + s for s in sizes}
     seen = list(dict.fromkeys((key[r.source], r.source_block) for r in got))
-    assert seen == by_hand(blocks, shares)
+    assert seen == by_hand({key[s]: -(-n // 3) for s, n in sizes.items()}, {key[s]: w for s, w in weight.items()})
     assert sorted(map(repr, rows)) == sorted(repr((r.doc_id, r.source)) for r in got)
 
 
-def test_less_than_a_block_from_target(sample):
-    docs = sample.select("doc_id", "source")
-    got = mixed(docs, block_rows=1, period=100)
-    counts = Counter(r.source for r in got)
-    weight = {s: n**0.5 for s, n in counts.items()}
-    shares = {s: max(1, round(w / sum(weight.values()) * 100)) for s, w in weight.items()}
-    period = sum(shares.values())
-    whole = min(counts[s] // shares[s] for s in counts)
-    seen = defaultdict(int)
-    for slot, r in enumerate(got[: whole * period], 1):
-        seen[r.source] += 1
-        assert all(abs(seen[s] - Fraction(shares[s] * slot, period)) < 1 for s in shares)
-
-
 def test_groups_and_spans_number_a_source_alike(spark, monkeypatch):
     docs = spark.range(900).selectExpr("id AS doc_id", "if(id % 3 = 0, 'x', 'hot') AS source")
     # The order is the groups', so compare what must hold for any of them.
@@ -83,8 +71,8 @@ def test_bad_weights_get_the_least_share(spark):
     weights = spark.createDataFrame(
         [("a", 3.0), ("b", float("nan")), ("c", -1.0), ("d", 2.0)], "source string, weight double"
     )
-    first = mixing.mix(docs, weights, block_rows=1, period=3).orderBy("position").limit(5).collect()
-    assert Counter(r.source for r in first) == {"a": 3, "b": 1, "c": 1}
+    first = mixing.mix(docs, weights, block_rows=1).orderBy("position").limit(6).collect()
+    assert [r.source for r in first] == ["a"] * 6
 
 
 def farthest(got, weight, block_rows):
@@ -139,5 +127,16 @@ def test_any_number_of_sources(spark):
     got = mixed(docs, block_rows=2)
     assert [r.position for r in got] == list(range(sum(sizes.values())))
     assert sizes == Counter(r.source for r in got)
-    # In bundles a source is less than two blocks from its target, one by itself less than one.
-    assert farthest(got, {s: n**0.5 for s, n in sizes.items()}, 2) < 2
+    assert farthest(got, {s: n**0.5 for s, n in sizes.items()}, 2) < 1 + 1e-6
+
+
+def test_many_sources_of_mixed_weights(spark):
+    sizes = {f"h{i}": 12 for i in range(130)} | {f"l{i}": 4 for i in range(200)}
+    weight = {f"h{i}": 8.0 for i in range(130)}
+    weight |= {f"l{i}": (1.0, 1.3, 1.9)[i % 3] * (1.0, 0.25, 0.06)[i // 3 % 3] for i in range(200)}
+    docs = spark.createDataFrame(
+        [(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string"
+    )
+    weights = spark.createDataFrame(list(weight.items()), "source string, weight double")
+    got = sorted(mixing.mix(docs, weights, block_rows=1).collect(), key=lambda r: r.position)
+    assert farthest(got, weight, 1) < 1 + 1e-6

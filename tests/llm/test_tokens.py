@@ -128,3 +128,27 @@ def test_digests_and_round_trip(awkward, listed):
     assert made.count() == awkward.count() and bpe.with_ids(awkward.limit(0), RANKS, PATTERN).count() == 0
     assert made.where("NOT round_trip OR size(ids) != n_tokens").count() == 0
     assert bpe.encode_digests(awkward.limit(0), RANKS, PATTERN).count() == 0
+
+
+def every_code_point():
+    return (chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+
+
+def test_every_code_point_counts_as_in_the_library():
+    file = public_tokenizers.path("word_bpe_49k.json")
+    counter, library = counts.WordCounter(file), Tokenizer.from_file(file)
+    texts = [f"a{c} b{c}'s 1{c} A{c}!" for c in every_code_point()]
+    for at in range(0, len(texts), 50_000):
+        part = texts[at : at + 50_000]
+        found = library.encode_batch(part, add_special_tokens=False)
+        assert [len(e.ids) for e in found] == [counter.text(t) for t in part]
+
+
+def test_every_code_point_is_encoded_as_in_the_library():
+    machine = bpe.Transducer(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=machine.ranks, special_tokens={}
+    )
+    for c in every_code_point():
+        text = f"a{c} b{c}'s 1{c}"
+        assert machine.encode(text) == library.encode_ordinary(text), hex(ord(c))
