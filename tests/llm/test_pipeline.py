@@ -72,7 +72,8 @@ def test_stages_keep_columns_and_awkward_rows(spark, awkward):
     for name in ("language", "near_copies", "secrets", "mixture"):
         got = named[name](spark, awkward, "")
         assert got.columns == awkward.columns, name
-        assert got.count() == {"language": 7, "near_copies": 10}.get(name, 11)
+        # In the language stage document 5, held out, of words and signs nothing else has, goes too.
+        assert got.count() == {"language": 6, "near_copies": 10}.get(name, 11)
         assert named[name](spark, awkward.limit(0), "").count() == 0
     assert named["tokens"](spark, awkward, "").count() == 11
     assert named["tokens"](spark, awkward.limit(0), "").count() == 0
