@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossweave.llm.splitting import Splitter
-from crossweave.llm.worker import by_value, columns_named, kept
+from crossweave.llm.worker import by_value, columns_named, kept, trim
 
 by_value(__name__)
 
@@ -128,6 +128,15 @@ class Transducer:
         # A guess: (node, token before the open one or -1, tokens not emitted, the last included).
         self.start = self._state(((0, -1, ()),))
 
+    def clear(self) -> None:
+        """Let go of all tables; states refer to each other in circles."""
+        for state in self.states.values():
+            state.on.clear()
+        self.states.clear()
+        self.pairs.clear()
+        self.known.clear()
+        self.known.elder.clear()
+
     def _forget(self) -> None:
         """Keep the half of the states nearest to the start, which most pieces come through."""
         near = {self.start: None}
@@ -350,7 +359,8 @@ def with_ids(docs: DataFrame, file: str, pattern: str) -> DataFrame:
     )
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, decoder = _coder(file, pattern)
+        # A coder of the task's own: among other stages, its tables must not stay in the worker.
+        machine, decoder = _new_coder(file, pattern)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
@@ -371,6 +381,9 @@ def with_ids(docs: DataFrame, file: str, pattern: str) -> DataFrame:
                     [*columns, pa.array(counts), ids, pa.array(same, pa.bool_())],
                     names=[*own, "n_tokens", "ids", "round_trip"],
                 )
+        machine.clear()
+        del machine, decoder
+        trim()
 
     return docs.select(*[f"`{c}`" for c in own], "text").mapInArrow(coded, made)
 

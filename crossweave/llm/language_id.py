@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.worker import by_value, columns_named
+from crossweave.llm.worker import by_value, columns_named, trim
 
 by_value(__name__)
 
@@ -381,6 +381,7 @@ def known_share(text: Column, network: Network | None) -> Column:
             odds = network.probabilities([(t or "").encode("utf-8") for t in texts])
             own = [i for i, name in enumerate(network.languages) if name != NO_LANGUAGE]
             yield pd.Series(odds[:, own].sum(axis=1))
+        trim()
 
     return read(F.when(text.rlike(r"\p{L}"), text))
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from crossweave.llm.components import components
 from crossweave.llm.shingles import Powers, in_groups, mixed, shingle_sets
-from crossweave.llm.worker import by_value, columns_named
+from crossweave.llm.worker import by_value, columns_named, trim
 from crossweave.workspace import Workspace
 
 by_value(__name__)
@@ -141,7 +141,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
         )
         counted += n
     yield from passed_on()
-    pa.default_memory_pool().release_unused()
+    trim()
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -226,7 +226,7 @@ def _second_pass(
                 node = node_of(tokens)
                 if node in seen:
                     continue  # an equal set of this task has been here
-                if len(seen) >= 500_000:
+                if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(node)
                 at, orders = _prefixes(tokens, levels, percent)
@@ -268,6 +268,7 @@ def _second_pass(
             pa.nulls(n, pa.int32()),
             pa.array(blobs if n else [], pa.binary()),
         )
+    trim()
 
 
 def _shared(table: pa.Table) -> pa.Table:

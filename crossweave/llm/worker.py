@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark import cloudpickle
 
 STATE = "crossweave_worker_state"
@@ -32,6 +36,14 @@ def kept(name: str, key: Any, make: Callable[[], Any]) -> Any:
     return held[1]
 
 
+def trim() -> None:
+    """Give memory that a task has freed back to the system, for the stages that come after it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def columns_named(df, *names: str) -> None:
     """Fail early, with a clear message, if an input column is missing."""
     missing = [n for n in names if n not in df.columns]
