@@ -28,6 +28,8 @@ RESET = 0.15
 DAMPING = 1 - RESET
 TOLERANCE = 0.01
 HUB_ROUNDS = 10
+SCORE = ("score",)
+HUB_AUTHORITY = ("hub", "authority")
 
 # A neighbourhood with more rows (members and links) is solved by joins.
 LOCAL_ROWS = 500_000
@@ -93,7 +95,26 @@ def _hub_score(g: Graphs) -> np.ndarray:
     return hub
 
 
-def _solve_local(graphs: DataFrame, rows: int, measure: Callable[[Graphs], np.ndarray]) -> DataFrame:
+def _unit_length(g: Graphs, values: np.ndarray) -> np.ndarray:
+    """Values scaled to length 1 within each neighbourhood; nothing but zeros stays so."""
+    length = np.sqrt(np.bincount(g.group, weights=values * values))
+    return values / np.where(length == 0, 1.0, length)[g.group]
+
+
+def _hub_authority(g: Graphs) -> tuple[np.ndarray, np.ndarray]:
+    hub, authority = np.ones(g.size), np.zeros(g.size)
+    for _ in range(HUB_ROUNDS):
+        authority = _unit_length(g, g.into(hub[g.src] * g.n, g.dst))
+        hub = _unit_length(g, g.into(authority[g.dst] * g.n, g.src))
+    return hub, authority
+
+
+Measure = Callable[[Graphs], np.ndarray | tuple[np.ndarray, ...]]
+
+
+def _solve_local(
+    graphs: DataFrame, rows: int, measure: Measure, names: tuple[str, ...] = SCORE
+) -> DataFrame:
     """Solve groups of whole neighbourhoods, each group in one task."""
 
     def solve(table: pa.Table) -> pa.Table:
@@ -112,15 +133,16 @@ def _solve_local(graphs: DataFrame, rows: int, measure: Callable[[Graphs], np.nd
             np.searchsorted(members, target[link]),
             n[link].astype(float),
         )
-        return pa.table(
-            {"ego": egos[owner], "member": ids[members % len(ids)], "score": measure(graph)}
-        )
+        found = measure(graph)
+        found = found if isinstance(found, tuple) else (found,)
+        keys = {"ego": egos[owner], "member": ids[members % len(ids)]}
+        return pa.table(keys | dict(zip(names, found, strict=True)))
 
     session = graphs.sparkSession
     groups = max(-(-rows // GROUP_ROWS), session.sparkContext.defaultParallelism)
     grouped = graphs.withColumn("_group", F.pmod(F.xxhash64("ego"), F.lit(groups)))
     return grouped.groupBy("_group").applyInArrow(
-        solve, "ego bigint, member bigint, score double"
+        solve, "ego bigint, member bigint, " + ", ".join(f"{n} double" for n in names)
     )
 
 
@@ -177,27 +199,56 @@ def _hub_score_by_joins(ws: Workspace, graphs: DataFrame) -> DataFrame:
     return hub.df.withColumnRenamed("v", "member")
 
 
+def _hub_authority_by_joins(ws: Workspace, graphs: DataFrame) -> DataFrame:
+    """The same scores by two joins per round, each round written; zeros have no rows meanwhile."""
+    links = graphs.where(F.col("n") > 0)
+    members = graphs.where(F.col("n") == 0).select("ego", F.col("src").alias("v"))
+
+    def turn(scores: Stored, of: str, to: str, name: str) -> Stored:
+        known = scores.df.select("ego", F.col("v").alias(of), "score")
+        sums = (
+            links.join(known, ["ego", of])
+            .groupBy("ego", F.col(to).alias("v"))
+            .agg(F.sum(F.col("n") * F.col("score")).alias("sum"))
+        )
+        summed = ws.save(sums, f"{name}sums").df
+        length = summed.groupBy("ego").agg(F.sqrt(F.sum(F.col("sum") * F.col("sum"))).alias("length"))
+        scaled = summed.join(length, "ego")
+        return ws.save(scaled.select("ego", "v", (F.col("sum") / F.col("length")).alias("score")), name)
+
+    hub = ws.save(members.withColumn("score", F.lit(1.0)), "hub")
+    for _ in range(HUB_ROUNDS):
+        authority = turn(hub, "src", "dst", "authority")
+        hub = turn(authority, "dst", "src", "hub")
+    found = members
+    for name, scores in zip(HUB_AUTHORITY, (hub, authority), strict=True):
+        own = scores.df.withColumnRenamed("score", name)
+        found = found.join(own, ["ego", "v"], "left").fillna(0.0, [name])
+    return found.withColumnRenamed("v", "member")
+
+
 def _scores(
     ws: Workspace,
     net: Stored,
     edges: Stored,
-    local: Callable[[Graphs], np.ndarray],
+    local: Measure,
     by_joins: Callable[[Workspace, DataFrame], DataFrame],
     local_rows: int | None,
+    names: tuple[str, ...] = SCORE,
 ) -> DataFrame:
     local_rows = LOCAL_ROWS if local_rows is None else local_rows
     graphs = neighbourhood_graphs(ws, net, edges)
     if graphs.rows <= local_rows:
-        return _solve_local(graphs.df, graphs.rows, local)
+        return _solve_local(graphs.df, graphs.rows, local, names)
     sizes = graphs.df.groupBy("ego").agg(F.count(F.lit(1)).alias("rows"))
     large = ws.save(sizes.where(F.col("rows") > local_rows).select("ego"), "large")
     if large.rows == 0:
-        return _solve_local(graphs.df, graphs.rows, local)
+        return _solve_local(graphs.df, graphs.rows, local, names)
     apart = {
         how: hot_join(graphs.df, large.df, "ego", how, left_rows=graphs.rows)
         for how in ("left_anti", "left_semi")
     }
-    small = _solve_local(apart["left_anti"], graphs.rows, local)
+    small = _solve_local(apart["left_anti"], graphs.rows, local, names)
     return small.unionByName(by_joins(ws, ws.save(apart["left_semi"], "largegraphs").df))
 
 
@@ -222,6 +273,25 @@ def hub_score(
     return _scores(ws, net, edges, _hub_score, _hub_score_by_joins, local_rows)
 
 
+def hub_authority(
+    ws: Workspace, net: Stored, edges: Stored, local_rows: int | None = None
+) -> DataFrame:
+    """``(ego, member, hub, authority)``: hubs and authorities of each neighbourhood, by ten rounds of mutual sums.
+
+    A member's authority is the sum of the hub scores that link to it, its hub score the sum of the
+    authorities it links to; after each sum a neighbourhood's scores are scaled to length 1.  Without links
+    all are 0.
+    """
+    return _scores(
+        ws, net, edges, _hub_authority, _hub_authority_by_joins, local_rows, HUB_AUTHORITY
+    )
+
+
+def kleinberg_authority(ws: Workspace, net: Stored, edges: Stored) -> DataFrame:
+    """``(ego, member, weight)`` with the scaled authority scores."""
+    return hub_authority(ws, net, edges).select("ego", "member", F.col("authority").alias("weight"))
+
+
 def reciprocal_page_rank(ws: Workspace, net: Stored, edges: Stored) -> DataFrame:
     """``(ego, member, weight)`` with the reciprocal of each member's PageRank."""
     return page_rank(ws, net, edges).select("ego", "member", (1 / F.col("score")).alias("weight"))
@@ -236,6 +306,7 @@ def authority_vectors(ws: Workspace, net: Stored, edges: Stored) -> DataFrame:
 CENTRALITIES: dict[str, Callable[[Workspace, Stored, Stored], DataFrame]] = {
     "RPR": reciprocal_page_rank,
     "HITS": authority_vectors,
+    "KLEINBERG": kleinberg_authority,
 }
 # Measures that give every member the weight 1.
 UNIT_WEIGHTS = {"HITS"}

@@ -11,7 +11,7 @@ from crossweave.operators import crossnet, reports
 from crossweave.operators.candidates import find_articles
 from crossweave.operators.linking import edge_table
 from crossweave.plans import analyses, graph as graphs
-from crossweave.plans.store import CANDIDATES, RANKED, ResultStore
+from crossweave.plans.store import CANDIDATES, RANKED, ResultStore, TableSet
 from crossweave.sources.tables import (
     get_or_build,
     load_id,
@@ -48,6 +48,7 @@ class Editions:
         self.analysis = f"{table_dir}/analysis/{load_id(self.spark, table_dir)}"
         self.store = ResultStore(self.spark, f"{self.analysis}/results_{self.name}")
         self._graph: graphs.LinkGraph | None = None
+        self._published: dict[str, DataFrame] | None = None
 
     def _table(self, name: str, build) -> Stored:
         path = f"{self.analysis}/{name}_{self.name}"
@@ -71,22 +72,32 @@ class Editions:
 
         return crossnet.CrossNet(self._table("crossnet", build))
 
+    def _cross_links(self) -> dict[str, DataFrame]:
+        """The page universe and the anomalies, published together."""
+
+        def build() -> dict[str, DataFrame]:
+            cross, links = self.cross(), self._language_links()
+            valid = crossnet.consistent_links(self._pages(), links.df, link_rows=links.rows)
+            return {
+                "universe": graphs.universe_pages(self._pages(), cross),
+                "anomalies": crossnet.anomalies(cross, valid, link_rows=links.rows),
+            }
+
+        if self._published is None:
+            tables = TableSet(self.spark, f"{self.analysis}/crosslinks_{self.name}")
+            self._published = tables.get_or_build(build)
+        return self._published
+
     def pages(self) -> Stored:
         """The page universe."""
-        return self._table("universe", lambda: graphs.universe_pages(self._pages(), self.cross()))
+        return Stored(self._cross_links()["universe"])
 
     def anomalies(self) -> Stored:
-        def build() -> DataFrame:
-            links = self._language_links()
-            valid = crossnet.consistent_links(self._pages(), links.df, link_rows=links.rows)
-            return crossnet.anomalies(self.cross(), valid, link_rows=links.rows)
-
-        return self._table("anomalies", build)
+        return Stored(self._cross_links()["anomalies"])
 
     def analyse_cross_links(self) -> None:
-        """Write the cross-net, the page universe and the anomalies where missing."""
-        self.pages()
-        self.anomalies()
+        """Write the cross-net, and the page universe with the anomalies, where missing."""
+        self._cross_links()
 
     def anomaly_report(self) -> DataFrame:
         return crossnet.anomaly_report(self.anomalies(), self.pages().df)

@@ -7,6 +7,7 @@ are not rewritten.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
@@ -27,6 +28,63 @@ ROWS = {
 MARKERS = "query_id bigint, run string"
 
 
+def _read_parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table, empty where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+class TableSet:
+    """Several tables that are published together.
+
+    A run writes each into its own folder and then one marker; readers take the tables of the first run that has one, so
+    they never see some of a run's tables without the others.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root
+
+    def _run(self) -> str | None:
+        """The published run: one, as later ones write no marker where there is one."""
+        first = _read_parquet(self.spark, f"{self.root}/done", "run string").agg(F.min("run")).first()
+        return first[0]
+
+    def read(self) -> dict[str, DataFrame] | None:
+        """The published tables by name, or None."""
+        run = self._run()
+        if run is None:
+            return None
+        names = _read_parquet(self.spark, f"{self.root}/done", "run string, name string")
+        own = names.where(F.col("run") == run).select("name").collect()
+        return {r["name"]: self.spark.read.parquet(f"{self.root}/run={run}/{r['name']}") for r in own}
+
+    def write(self, tables: dict[str, DataFrame]) -> str:
+        """Write the tables of a run, unpublished."""
+        run = uuid4().hex
+        for name, table in tables.items():
+            table.write.parquet(f"{self.root}/run={run}/{name}")
+        return run
+
+    def publish(self, run: str, names: list[str]) -> None:
+        """One file with all names makes them readable at once."""
+        marker = self.spark.createDataFrame([(run, n) for n in names], "run string, name string")
+        marker.coalesce(1).write.mode("append").parquet(f"{self.root}/done")
+
+    def get_or_build(self, build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+        """The published tables, built first where there are none."""
+        found = self.read()
+        if found is None:
+            made = build()
+            self.publish(self.write(made), list(made))
+            found = self.read()
+        return found
+
+
 class ResultStore:
     """Candidates by step and rankings by step and centrality, for one set of languages."""
 
@@ -38,12 +96,7 @@ class ResultStore:
         return f"{self.root}/{top}/kind={kind}/step={step}/centrality={centrality}"
 
     def _read(self, path: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
+        return _read_parquet(self.spark, path, schema)
 
     def done(self, kind: str, step: int, centrality: str = ANY_CENTRALITY) -> DataFrame:
         """``(query_id, run)`` of the queries answered so far."""
@@ -55,23 +108,37 @@ class ResultStore:
         """The ``queries(query_id, ...)`` without a result of just this step and centrality."""
         return queries.join(self.done(kind, step, centrality), "query_id", "left_anti")
 
-    def append(
-        self,
-        queries: DataFrame,
-        rows: DataFrame,
-        kind: str,
-        step: int,
-        centrality: str = ANY_CENTRALITY,
-    ) -> None:
-        """Add the rows found for some queries; queries without rows count as answered."""
+    def write(
+        self, rows: DataFrame, kind: str, step: int, centrality: str = ANY_CENTRALITY
+    ) -> str:
+        """Write a run's rows; until ``commit`` nobody reads them."""
         run = uuid4().hex
         columns = [c.strip().split()[0] for c in ROWS[kind].split(",")][:-1]
         rows.select(*columns).write.parquet(
             f"{self._folder('rows', kind, step, centrality)}/run={run}"
         )
+        return run
+
+    def commit(
+        self, queries: DataFrame, run: str, kind: str, step: int, centrality: str = ANY_CENTRALITY
+    ) -> None:
+        """Mark some queries as answered by a run; queries without rows count as answered."""
         marked = queries.select("query_id", F.lit(run).alias("run")).distinct()
         marked.write.mode("append").parquet(self._folder("done", kind, step, centrality))
 
+    def append(
+        self,
+        queries: DataFrame,
+        rows: DataFrame,
+        kind: str,
+        step: int,
+        centrality: str = ANY_CENTRALITY,
+    ) -> str:
+        """Add the rows found for some queries."""
+        run = self.write(rows, kind, step, centrality)
+        self.commit(queries, run, kind, step, centrality)
+        return run
+
     def load(
         self,
         ws: Workspace,

@@ -13,7 +13,8 @@ from crossweave.functions.keys import jvm_hash_key, key_builder
 from crossweave.operators import crossnet, linking, neighborhood, reports
 from crossweave.operators import centrality as measures
 from crossweave.operators.skew import hot_join
-from crossweave.plans import analyses, graph as graphs, views
+from crossweave.plans import analyses, graph as graphs, store, views
+from crossweave.plans.editions import Editions
 from crossweave.sources import dump, tables
 from crossweave.sources.derived import LANGUAGES, PIVOT, DerivedGraph
 from crossweave.workspace import Stored, Workspace
@@ -201,6 +202,23 @@ def dump_unresolved(c: Corpus, ws: Workspace) -> DataFrame:
     return tables.read_language_link_dump(ws.spark, _loaded(c, ws), SCANNED).drop("kind")
 
 
+@query
+def plugin_lines(c: Corpus, ws: Workspace) -> DataFrame:
+    """Lines of a format that a caller has added, ``id;title;flag``, parsed to pages with the flag."""
+    dump.PARSERS["flaggedpage"] = dump.ParseSpec(
+        r"^(\d+);([^;]*);(yes|no)$",
+        lambda group, lang, key: {
+            "sid": key(group(1), lang),
+            "title": group(2),
+            "flagged": group(3) == "yes",
+            "lang": lang,
+        },
+    )
+    flag = F.when(F.col("id") % 17 == 3, "maybe").when(F.col("id") % 2 == 0, "yes").otherwise("no")
+    lines = c.pages.df.select(F.concat_ws(";", "id", "title", flag).alias("value"), "lang")
+    return dump.parse_lines(lines, "flaggedpage", _key(), where=F.col("title") != "part_10")
+
+
 @query
 def jvm_keys(c: Corpus, ws: Workspace) -> DataFrame:
     return c.pages.df.select(
@@ -310,6 +328,32 @@ def translated_net(c: Corpus, ws: Workspace) -> DataFrame:
     return neighborhood.translated_net(net, graph.cross.repaired)
 
 
+@query
+def map_functions(c: Corpus, ws: Workspace) -> DataFrame:
+    """What the functions on maps of sets say of each page's counterparts before repair."""
+    # The least and greatest counterpart of a language stand for its set, so that maps stay small.
+    ends = F.array_distinct(F.array("lo", "hi"))
+    nested = c.cross(ws).table.df.groupBy(F.col("v").alias("sid"), F.col("v_lang").alias("lang")).agg(
+        F.map_from_entries(F.collect_list(F.struct("lang", ends))).alias("sets")
+    )
+    sets, sid = F.col("sets"), F.col("sid")
+    zeros = maps.constant_map(maps.all_ids(sets), 0.5)
+    other = F.when(F.col("lang") == PIVOT, F.lit(LANGUAGES[1])).otherwise(F.lit(PIVOT))
+    merged = maps.merge_maps(sets, F.create_map(F.lit("r9"), F.array(sid)))
+    return nested.select(
+        "sid",
+        F.size(maps.unambiguous(sets)).alias("single"),
+        F.size(maps.ambiguous(sets)).alias("several"),
+        maps.is_anomalous(sets).alias("anomalous"),
+        maps.only_id(maps.ids_of(maps.unambiguous(sets), other)).alias("counterpart"),
+        F.size(maps.ids_of(sets, F.lit("r9"))).alias("unknown"),
+        maps.map_overlaps(sets, F.array(sid)).alias("has_itself"),
+        maps.map_overlaps(sets, F.array(sid + 1)).alias("has_next"),
+        F.size(maps.ids_of(merged, F.lit("r9"))).alias("merged"),
+        F.aggregate(F.map_values(zeros), F.lit(0.0), lambda a, x: a + x).alias("halves"),
+    )
+
+
 # Recommendation: every page of the pivot edition is a query.
 
 
@@ -339,6 +383,120 @@ def recommendation_report(c: Corpus, ws: Workspace) -> DataFrame:
     return reports.recommendation_report(made.found, made.graph.pages.df)
 
 
+@query
+def candidates_half_absent(c: Corpus, ws: Workspace) -> DataFrame:
+    """As many titles again that no page has: they add no rows, and nothing in the plan asks for them first."""
+    graph = c.graph(ws)
+    titles = _titles(graph)
+    absent = titles.select(F.concat(F.lit("lost_"), "title").alias("title"), (-F.col("query_id")).alias("query_id"))
+    return analyses.recommend(graph, titles.unionByName(absent), STEP, PIVOT).found.df
+
+
+REPORT = "query_id bigint, from bigint, from_title string, to bigint, to_title string, lang string"
+
+
+@query
+def report_text(c: Corpus, ws: Workspace) -> DataFrame:
+    """The recommendation report written as one text file and read back, with titles that hold what
+    text files trip over."""
+    made = _by_title(c, ws)
+    report = reports.recommendation_report(made.found, made.graph.pages.df)
+    odd = (
+        F.when(F.col("to") % 7 == 0, F.concat("to_title", F.lit("\ttab")))
+        .when(F.col("to") % 7 == 1, F.concat(F.lit('"'), "to_title", F.lit("\\t\\N\n")))
+        .when(F.col("to") % 7 == 2, F.lit(""))
+        .when(F.col("to") % 7 == 3, F.lit(None))
+        .otherwise(F.col("to_title"))
+    )
+    tables.write_report(report.withColumn("to_title", odd), f"{ws.root}/report", single_file=True)
+    return tables.read_report(ws.spark, f"{ws.root}/report", REPORT)
+
+
+# Results kept between runs
+
+
+def _some(df: DataFrame, *rests: int) -> DataFrame:
+    """Rows of the queries whose title number leaves one of the rests modulo 3."""
+    return df.where((F.floor(F.col("query_id") / 1024) % 3).isin(*rests))
+
+
+@query
+def store_runs(c: Corpus, ws: Workspace) -> DataFrame:
+    """Two runs answer overlapping titles, a third was never committed: each title is read once."""
+    made = _by_title(c, ws)
+    titles = ws.save(_titles(made.graph), "titles").df
+    results = store.ResultStore(ws.spark, f"{ws.root}/store")
+    for rests in ((0, 2), (1, 2)):
+        results.append(_some(titles, *rests), _some(made.found.df, *rests), store.CANDIDATES, STEP)
+    lost = made.found.df.select("query_id", F.col("to").alias("from"), F.col("from").alias("to"))
+    results.write(lost, store.CANDIDATES, STEP)
+    return results.load(ws, titles, store.CANDIDATES, STEP).df
+
+
+@query
+def store_pending(c: Corpus, ws: Workspace) -> DataFrame:
+    """A second run computes only the titles without an answer at this step; ``second`` tells which."""
+    graph = c.graph(ws)
+    titles = ws.save(_titles(graph), "titles").df
+    results = store.ResultStore(ws.spark, f"{ws.root}/store")
+    first = _some(titles, 0)
+    made = analyses.recommend(graph, first, STEP, PIVOT)
+    results.append(first, made.found.df, store.CANDIDATES, STEP)
+    # Answers of another step don't count.
+    results.append(titles, made.found.df.limit(0), store.CANDIDATES, STEP + 1)
+    pending = ws.save(results.pending(titles, store.CANDIDATES, STEP), "pending").df
+    more = analyses.recommend(graph, pending, STEP, PIVOT)
+    run = results.append(pending, more.found.df, store.CANDIDATES, STEP)
+    answered = results.done(store.CANDIDATES, STEP).select("query_id", (F.col("run") == run).alias("second"))
+    return results.load(ws, titles, store.CANDIDATES, STEP).df.join(answered, "query_id")
+
+
+@query
+def page_status(c: Corpus, ws: Workspace) -> DataFrame:
+    """Every page with the step of its stored candidates and whether they are ranked."""
+    made = _by_title(c, ws)
+    titles = ws.save(_titles(made.graph), "titles").df
+    results = store.ResultStore(ws.spark, f"{ws.root}/store")
+    results.append(_some(titles, 0, 1), _some(made.found.df, 0, 1), store.CANDIDATES, STEP)
+    mine = made.found.view(_some(made.found.df, 1))
+    ranked = analyses.rank(analyses.Recommendations(made.graph, made.nets, mine), "HITS")
+    results.append(_some(titles, 1), ranked.df, store.RANKED, STEP, "HITS")
+    return results.page_status(made.graph.pages.df, STEP, "HITS")
+
+
+def _editions(c: Corpus, ws: Workspace) -> Editions:
+    """The editions of the loaded dump, with what an earlier object has stored."""
+    folder = _loaded(c, ws)
+    Editions(ws, folder, LANGUAGES, PIVOT).analyse_cross_links()
+    return Editions(ws, folder, LANGUAGES, PIVOT)
+
+
+@query
+def stored_universe(c: Corpus, ws: Workspace) -> DataFrame:
+    return _editions(c, ws).pages().df
+
+
+@query
+def stored_anomalies(c: Corpus, ws: Workspace) -> DataFrame:
+    return _editions(c, ws).anomalies().df
+
+
+@query
+def cross_link_job(c: Corpus, ws: Workspace) -> DataFrame:
+    """The cross-link job's two tables, read back together; a run that was never published isn't seen."""
+    cross = c.cross(ws)
+    made = {"universe": graphs.universe_pages(c.pages, cross), "anomalies": _anomalies(c, ws, cross)}
+    tables_of_job = store.TableSet(ws.spark, f"{ws.root}/crosslinks")
+    tables_of_job.write({"universe": made["universe"].limit(1)})
+    found = tables_of_job.get_or_build(lambda: made)
+    none = F.lit(None).cast("bigint")
+    return (
+        found["universe"]
+        .select(F.lit("universe").alias("name"), "sid", "lang", none.alias("to"))
+        .unionByName(found["anomalies"].select(F.lit("anomalies").alias("name"), F.col("from").alias("sid"), "lang", "to"))
+    )
+
+
 # Centralities
 
 
@@ -367,6 +525,29 @@ def hits_hub(c: Corpus, ws: Workspace) -> DataFrame:
     return measures.hub_score(ws, *_net(c, ws))
 
 
+@query
+def hits_kleinberg(c: Corpus, ws: Workspace) -> DataFrame:
+    return _comparable(measures.hub_authority(ws, *_net(c, ws)), *measures.HUB_AUTHORITY)
+
+
+def in_degree_share(ws: Workspace, net: Stored, edges: Stored) -> DataFrame:
+    """A caller's own measure: a member's share of the links inside the neighbourhood."""
+    inside = ws.save(measures.induced_links(net, edges), "inside").df
+    received = inside.groupBy("ego", F.col("dst").alias("member")).agg(F.sum("n").alias("own"))
+    total = inside.groupBy("ego").agg(F.sum("n").alias("links"))
+    share = (F.col("own") / F.col("links")).alias("weight")
+    return received.join(total, "ego").select("ego", "member", share)
+
+
+@query
+def plugin_measure(c: Corpus, ws: Workspace) -> DataFrame:
+    """Similarity of all pages and their candidates under a measure that a caller has added."""
+    measures.CENTRALITIES["IN_DEGREE_SHARE"] = in_degree_share
+    net, edges = _net(c, ws)
+    weights = measures.vectors(ws, net, edges, "IN_DEGREE_SHARE")
+    return _comparable(weights.df, "weight")
+
+
 # Ranking
 
 

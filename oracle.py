@@ -134,6 +134,27 @@ for _round in range(HUB_ROUNDS):
           FROM both_links l JOIN {_before} x ON x.ego = l.ego AND x.member = l.b
           GROUP BY l.ego, l.a) s ON s.ego = m.ego AND s.member = m.member"""
 
+# Hubs and authorities: each sum is scaled to length 1 within its neighbourhood.
+for _round in range(HUB_ROUNDS):
+    _hubs = f"khub{_round}"
+    if _round == 0:
+        BLOCKS["khub0"] = "SELECT ego, member, CAST(1 AS DOUBLE) AS s FROM net2"
+    for _name, _known, _of, _to in (("kauth", _hubs, "src", "dst"), ("khub", f"kauth{_round + 1}", "dst", "src")):
+        BLOCKS[f"{_name}{_round + 1}"] = f"""
+            SELECT ego, member, s / sqrt(sum(s * s) OVER (PARTITION BY ego)) AS s FROM (
+              SELECT l.ego, l.{_to} AS member, sum(l.n * x.s) AS s
+              FROM inner_links l JOIN {_known} x ON x.ego = l.ego AND x.member = l.{_of}
+              GROUP BY l.ego, l.{_to})"""
+
+# Language links as a loaded dump has them: source keys by the line's language, no titles of namespaces.
+DUMPED = {
+    "resolved": """
+        SELECT d.sid // 1024 * 1024 + CAST(substr(d.lang, 2) AS BIGINT) AS src, p.sid AS dst,
+               d.lang AS srclang, p.lang AS dstlang
+        FROM g_dump d JOIN g_pages p ON d.title = p.title AND d.tolang = p.lang
+        WHERE NOT contains(d.title, ':')"""
+}
+
 
 def _similarity(pairs: str, weights: str) -> dict[str, str]:
     """Blocks for the similarity of the distinct (src, dst) of ``pairs``."""
@@ -387,6 +408,52 @@ def oracle_sql() -> dict[str, str]:
         "pagerank_ego": _with("SELECT ego, member, CAST(score AS FLOAT)::DOUBLE AS score FROM ranks"),
         "reciprocal_vectors": _with("SELECT ego, member, CAST(w AS FLOAT)::DOUBLE AS weight FROM rpr_weights"),
         "hits_unit": _with("SELECT ego, member, w AS weight FROM unit_weights"),
+        "hits_kleinberg": _with(f"""
+            SELECT m.ego, m.member, CAST(coalesce(h.s, 0) AS FLOAT)::DOUBLE AS hub,
+                   CAST(coalesce(a.s, 0) AS FLOAT)::DOUBLE AS authority
+            FROM net2 m LEFT JOIN khub{HUB_ROUNDS} h ON h.ego = m.ego AND h.member = m.member
+            LEFT JOIN kauth{HUB_ROUNDS} a ON a.ego = m.ego AND a.member = m.member""", {
+            "hubs": f"SELECT 1 FROM khub{HUB_ROUNDS}", "auths": f"SELECT 1 FROM kauth{HUB_ROUNDS}"}),
+        "plugin_measure": _with("""
+            SELECT ego, dst AS member, CAST(sum(n) / sum(sum(n)) OVER (PARTITION BY ego) AS FLOAT)::DOUBLE AS weight
+            FROM inner_links GROUP BY ego, dst"""),
+        "plugin_lines": _with("""
+            SELECT sid, title, id % 2 = 0 AS flagged, lang FROM g_pages
+            WHERE id % 17 <> 3 AND title <> 'part_10'"""),
+        "map_functions": _with("""
+            SELECT c.v AS sid, count(*) FILTER (k = 1) AS single, count(*) FILTER (k > 1) AS several,
+                   max(k) > 1 AS anomalous,
+                   max(member) FILTER (k = 1 AND c.lang = CASE WHEN v_lang = 'r0' THEN 'r1' ELSE 'r0' END) AS counterpart,
+                   0 AS unknown, true AS has_itself,
+                   bool_or(member = c.v + 1 OR most = c.v + 1) AS has_next, 1 AS merged,
+                   0.5 * sum(CASE WHEN k > 1 THEN 2 ELSE 1 END) AS halves
+            FROM crosscount c JOIN (SELECT v, lang, max(member) AS most FROM crossrows GROUP BY v, lang) g
+              ON g.v = c.v AND g.lang = c.lang
+            GROUP BY c.v, v_lang"""),
+        "candidates_half_absent": _with(f"{found} cand_title"),
+        "report_text": _with("""
+            SELECT q AS query_id, src AS "from", a.title AS from_title, dst AS "to",
+                   CASE dst % 7 WHEN 0 THEN b.title || chr(9) || 'tab'
+                                WHEN 1 THEN '"' || b.title || chr(92) || 't' || chr(92) || 'N' || chr(10)
+                                WHEN 2 THEN '' WHEN 3 THEN NULL ELSE b.title END AS to_title, a.lang
+            FROM cand_title JOIN uni a ON a.sid = src JOIN uni b ON b.sid = dst"""),
+        "store_runs": _with(f"{found} cand_title"),
+        "store_pending": _with("""
+            SELECT q AS query_id, src AS "from", dst AS "to", q // 1024 % 3 <> 0 AS second FROM cand_title"""),
+        "page_status": _with("""
+            SELECT u.sid, any_value(id) AS id, any_value(title) AS title, any_value(u.lang) AS lang,
+                   CASE WHEN coalesce(bool_or(q // 1024 % 3 < 2), false) THEN 2 ELSE 0 END AS step,
+                   coalesce(bool_or(q // 1024 % 3 = 1), false) AS ranked
+            FROM uni u LEFT JOIN cand_title ON src = u.sid GROUP BY u.sid"""),
+        "stored_universe": _with("SELECT * FROM uni", DUMPED),
+        "stored_anomalies": _with(f"""
+            SELECT v AS "from", lang, member AS "to" FROM crossrows
+            WHERE (v, lang) IN ({conflicts.replace('v, lang', '(v, lang)', 1)})""", DUMPED),
+        "cross_link_job": _with(f"""
+            SELECT 'universe' AS name, sid, lang, NULL AS "to" FROM uni
+            UNION ALL
+            SELECT 'anomalies', v, lang, member FROM crossrows
+            WHERE (v, lang) IN ({conflicts.replace('v, lang', '(v, lang)', 1)})"""),
         "hits_hub": _with(f"SELECT ego, member, h AS score FROM hub{HUB_ROUNDS}"),
         "rank_everywhere_hits": _with(RANKED, _ranking("cand_all", "unit_weights")),
         "rank_everywhere_rpr": _with(RANKED, _ranking("cand_all", "rpr_weights")),
