@@ -30,10 +30,12 @@ from crossweave.llm.worker import by_value, columns_named, kept, trim
 
 by_value(__name__)
 
-# Bounds of what a worker keeps: some 90, 15 and 30 MB, with 30 MB for the vocabulary itself.
-KEPT_STATES = 130_000
-KEPT_PAIRS = 120_000
-KEPT_PIECES = 80_000
+# Bounds of what a worker keeps: up to some 140, 35 and 60 MB, with 30 MB for the vocabulary itself.
+KEPT_STATES = 200_000
+KEPT_PAIRS = 300_000
+KEPT_PIECES = 160_000
+# The share of these among the stages of a job that needs the memory for others.
+AMONG_OTHERS = 0.5
 KEPT_LENGTH = 64
 # Marks of pieces met once; a piece is kept from the second time on.
 MARKS = 1 << 23
@@ -91,7 +93,7 @@ class Pieces(dict):
             if len(piece) > KEPT_LENGTH or not self._met(piece):
                 return ids
         if len(piece) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PIECES:
+            if len(self) >= self.machine.most_pieces:
                 self.elder = dict(self)
                 self.clear()
             self[piece] = ids
@@ -101,7 +103,10 @@ class Pieces(dict):
 class Transducer:
     """Encodes pieces of text under one rank file."""
 
-    def __init__(self, file: str, pattern: str):
+    def __init__(self, file: str, pattern: str, share: float = 1.0):
+        self.most_states, self.most_pairs, self.most_pieces = (
+            int(share * most) for most in (KEPT_STATES, KEPT_PAIRS, KEPT_PIECES)
+        )
         self.ranks = read_ranks(file)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
@@ -142,7 +147,7 @@ class Transducer:
         near = {self.start: None}
         for state in (queue := [self.start]):
             for _, after in state.on.values():
-                if after not in near and len(near) < KEPT_STATES // 2:
+                if after not in near and len(near) < self.most_states // 2:
                     near[after] = None
                     queue.append(after)
         for state in near:
@@ -179,7 +184,7 @@ class Transducer:
         if fits is None:
             a, b = self.bytes_of[left], self.bytes_of[right]
             fits = self._merged(a + b) == [a, b]
-            if len(self.pairs) >= KEPT_PAIRS:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             self.pairs[key] = fits
         return fits
@@ -223,7 +228,7 @@ class Transducer:
             move = state.on.get(byte) or self._move(state, byte)
             out.extend(move[0])
             state = move[1]
-            if len(self.states) > KEPT_STATES:
+            if len(self.states) > self.most_states:
                 self._forget()
                 state = self._state(state.guesses)
         for node, _, pending in state.guesses:
@@ -305,8 +310,8 @@ class Decoder:
         return "".join(self.stream(ids))
 
 
-def _new_coder(file: str, pattern: str) -> tuple[Transducer, Decoder]:
-    machine = Transducer(file, pattern)
+def _new_coder(file: str, pattern: str, share: float = 1.0) -> tuple[Transducer, Decoder]:
+    machine = Transducer(file, pattern, share)
     return machine, Decoder(machine.bytes_of)
 
 
@@ -360,7 +365,7 @@ def with_ids(docs: DataFrame, file: str, pattern: str) -> DataFrame:
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A coder of the task's own: among other stages, its tables must not stay in the worker.
-        machine, decoder = _new_coder(file, pattern)
+        machine, decoder = _new_coder(file, pattern, AMONG_OTHERS)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
