@@ -92,7 +92,10 @@ def rank(recommended: Recommendations, centrality: str) -> Stored:
         "rankable",
     )
     weights = vectors(ws, nets.table, graph.edges, centrality)
-    ranked = pair_similarity(ws, rankable, weights, unit=centrality in UNIT_WEIGHTS)
+    # A single query has each pair once.
+    ranked = pair_similarity(
+        ws, rankable, weights, unit=centrality in UNIT_WEIGHTS, distinct=not recommended.by_title
+    )
     placed = rankable.df.select("query_id", "from").distinct()
     unplaced = hot_join(
         found.df, placed, ["query_id", "from"], "left_anti", left_rows=found.rows

@@ -149,7 +149,7 @@ class Editions:
         pages = self.pages().df
         return (
             reports.ranking_report(ranked, pages, k, exact),
-            reports.ranking_statistics(ranked, pages, k, exact),
+            reports.ranking_statistics(self.ws, ranked, pages, k, exact),
         )
 
     def relatedness(self, pairs: DataFrame, step: int, centrality: str) -> DataFrame:

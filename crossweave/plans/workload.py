@@ -592,7 +592,7 @@ def rank_top_k_rpr(c: Corpus, ws: Workspace) -> DataFrame:
 def _rank_stats(c: Corpus, ws: Workspace, centrality: str) -> DataFrame:
     made = _by_title(c, ws)
     ranked = analyses.rank(made, centrality)
-    stats = reports.ranking_statistics(ranked, made.graph.pages.df)
+    stats = reports.ranking_statistics(ws, ranked, made.graph.pages.df)
     scores = [n for n in stats.columns if n not in ("query_id", "from", "from_title", "lang")]
     return _comparable(stats, *scores)
 

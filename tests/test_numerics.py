@@ -115,6 +115,21 @@ def test_pair_similarity_however_long_the_vectors(spark, ws, limit):
         assert score == pytest.approx(got[b, a])
 
 
+@pytest.mark.parametrize("limit", [None, 2, 0])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_pairs_keep_their_columns(spark, ws, limit, repeated):
+    data = [(1, 1, 1.0), (1, 2, 1.0), (1, 3, 1.0), (2, 2, 1.0), (2, 3, 1.0), (3, 9, 1.0)]
+    weights = ws.save(spark.createDataFrame(data, "ego bigint, member bigint, weight double"), "w")
+    wanted = [("x", 1, 2), ("y", 2, 3), (None, 3, 3)] + [("z", 1, 2), ("z", 1, 2)] * repeated
+    pairs = ws.save(spark.createDataFrame(wanted, "name string, from bigint, to bigint"), "p")
+    scores = {(1, 2): 2 / 3, (2, 3): 0.0, (3, 3): 1.0}
+    expected = sorted((str(n), a, b, pytest.approx(scores[a, b])) for n, a, b in wanted)
+    for distinct in {False, not repeated}:
+        found = pair_similarity(ws, pairs, weights, packed_members=limit, distinct=distinct)
+        got = found.select("name", "from", "to", "score").collect()
+        assert sorted((str(r[0]), *r[1:]) for r in got) == expected
+
+
 def test_report_score(spark):
     df = spark.sql("SELECT * FROM VALUES (1.0D), (0.99996D), (0.33333D) AS t(s)")
     got = [r[0] for r in df.select(report_score(F.col("s"))).collect()]

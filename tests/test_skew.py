@@ -28,6 +28,14 @@ def test_hot_join(spark, how):
 
 
 def test_hot_rows_are_spread(spark):
+    # Ten parts of some 100 rows each, by what the rows hold.
+    left = spark.range(1000).select(F.lit(7).alias("k"), F.col("id").alias("a"))
+    parts = left.groupBy(skew._spread(left, F.lit(10)).alias("part")).count().collect()
+    assert len(parts) == 10
+    assert all(50 <= r["count"] <= 200 for r in parts)
+
+
+def test_equal_hot_rows_all_come_through(spark):
     left = spark.range(1000).select(F.lit(7).alias("k"), F.lit(1).alias("a")).repartition(4)
     right = spark.range(1).select(F.lit(7).alias("k"), F.lit(2).alias("b"))
     salted = hot_join(left, right, "k", left_rows=1000, hot_rows=100)
