@@ -1,9 +1,11 @@
 """Exact top-k search by inner product: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt to shards of bounded size.  A query is first answered in its own shard;
-its k-th score there is passed on with it to all other shards, where a ball is
-opened only if its upper bound reaches that score.  Queries come in blocks, so a task
-holds one shard and one block.
+A top tree, fitted on a bounded sample, deals all vectors to cells of near ones; a cell is cut
+into shards of bounded size.  A query is answered in its own shard first, then in the cells of the
+greatest upper bounds, then in the others.  Its k-th score so far goes with it each time: a cell whose bound
+doesn't reach that score is not visited, so the query isn't shipped there, and within a shard a
+ball is opened only if its bound reaches it.  Queries come in blocks, so a task holds one shard and one block.
+The cells change only what is read: any sample, or none, gives the same results.
 """
 
 from __future__ import annotations
@@ -26,11 +28,26 @@ by_value(__name__)
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 4096
 LEAF_ROWS = 48
+#: Rows that the top tree is fitted on, the least of these in a cell, and so the number of cells.
+SAMPLE_ROWS = 8192
+CELL_SAMPLE = 16
+MOST_CELLS = SAMPLE_ROWS // CELL_SAMPLE
+#: Cells visited before the k-th score is passed on to the rest.
+FIRST_CELLS = 4
 # Below this, sums of products of whole numbers are exact in double precision.
 EXACT = 2.0**53
 HITS = "query_id long, vec_id long, score long"
 
 
+def upper_bounds(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """The most that each query can score in each ball, safe against rounding."""
+    asked = queries.astype(np.float64)
+    lengths = np.sqrt((asked**2).sum(axis=1))
+    bound = asked @ centres.T + np.outer(lengths, radii)
+    size = np.outer(lengths, np.sqrt((centres**2).sum(axis=1)) + radii)
+    return bound + 1e-9 * size + 1e-6
+
+
 class BallTree:
     """Balls around whole-number vectors; leaves are ranges of the reordered rows."""
 
@@ -69,11 +86,7 @@ class BallTree:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Upper bounds of the score of each query in each ball, safe against rounding."""
-        asked = queries.astype(np.float64)
-        lengths = np.sqrt((asked**2).sum(axis=1))
-        bound = asked @ self.centres.T + np.outer(lengths, self.radii)
-        size = np.outer(lengths, np.sqrt((self.centres**2).sum(axis=1)) + self.radii)
-        return bound + 1e-9 * size + 1e-6
+        return upper_bounds(queries, self.centres, self.radii)
 
     def search(
         self, own: int, query: np.ndarray, bounds: np.ndarray, k: int, floor: int | None
@@ -134,6 +147,103 @@ def _vectors(table: pa.Table) -> Iterator[tuple[np.ndarray, pa.Table]]:
         yield flat.reshape(rows.num_rows, int(size)), rows
 
 
+class Cells:
+    """The top tree: for each length of vectors in the sample, cells of near vectors around a centre.
+
+    Cell 0 has the vectors of all other lengths and no bound.
+    """
+
+    def __init__(self, sample: pa.Table, cell_rows: int):
+        #: By length: the nodes (direction, border, left, right), or a cell; the root comes first.
+        self.trees: dict[int, list] = {}
+        #: By length: its first cell and the centres of its cells.
+        self.centres: dict[int, tuple[int, np.ndarray]] = {}
+        self.count = 1
+        for vectors, _ in _vectors(sample):
+            size = vectors.shape[1]
+            if size and len(vectors) >= CELL_SAMPLE:
+                self._fit(size, vectors.astype(np.float64), cell_rows)
+
+    def _fit(self, size: int, points: np.ndarray, cell_rows: int) -> None:
+        nodes: list = [None]
+        centres: list[np.ndarray] = []
+        first = self.count
+        todo = [(0, points)]
+        while todo:
+            node, own = todo.pop()
+            centre = own.mean(axis=0)
+            away = ((own - centre) ** 2).sum(axis=1)
+            if len(own) > cell_rows and len(own) >= 2 * CELL_SAMPLE:
+                one = own[away.argmax()]
+                direction = own[((own - one) ** 2).sum(axis=1).argmax()] - one
+                along = own @ direction
+                border = np.partition(along, len(own) // 2)[len(own) // 2]
+                left = along < border
+                if min(left.sum(), (~left).sum()) >= CELL_SAMPLE:
+                    nodes[node] = (direction, border, len(nodes), len(nodes) + 1)
+                    todo += [(len(nodes), own[left]), (len(nodes) + 1, own[~left])]
+                    nodes += [None, None]
+                    continue
+            nodes[node] = first + len(centres)
+            centres.append(centre)
+        self.trees[size] = nodes
+        self.centres[size] = first, np.array(centres)
+        self.count += len(centres)
+
+    def route(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each vector, and how far it is from that cell's centre."""
+        cell, away = np.zeros(len(vectors), np.int32), np.zeros(len(vectors))
+        nodes = self.trees.get(vectors.shape[1])
+        if nodes is None:
+            return cell, away
+        points = vectors.astype(np.float64)
+        first, centres = self.centres[vectors.shape[1]]
+        todo = [(0, np.arange(len(points)))]
+        while todo:
+            node, at = todo.pop()
+            if not len(at):
+                continue
+            if isinstance(nodes[node], int):
+                cell[at] = nodes[node]
+                away[at] = np.sqrt(((points[at] - centres[nodes[node] - first]) ** 2).sum(axis=1))
+                continue
+            direction, border, left, right = nodes[node]
+            low = points[at] @ direction < border
+            todo += [(left, at[low]), (right, at[~low])]
+        return cell, away
+
+    def assign(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with ``cell`` and ``away``; of equal ones in a batch, one."""
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            for vectors, own in _vectors(rows):
+                ids = np.asarray(own["vec_id"], dtype=np.int64)
+                _, once = np.unique(np.column_stack([ids, vectors]), axis=0, return_index=True)
+                cell, away = self.route(vectors[once])
+                placed = own.take(pa.array(once)).append_column("cell", pa.array(cell, pa.int32()))
+                yield from placed.append_column("away", pa.array(away, pa.float64())).to_batches()
+
+    def reach(
+        self, radii: np.ndarray, low: int, high: int, batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        """Queries with ``cells``: of the cells by falling bound, those from the low-th to before the
+        high-th that may hold a score of at least the query's floor."""
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_QUERIES):
+                rows = pa.Table.from_batches([batch.slice(start, BLOCK_QUERIES)])
+                for vectors, own in _vectors(rows):
+                    if vectors.shape[1] not in self.trees:
+                        cells = [[0] if low == 0 else []] * len(vectors)
+                    else:
+                        first, centres = self.centres[vectors.shape[1]]
+                        bounds = upper_bounds(vectors, centres, radii[first : first + len(centres)])
+                        order = np.argsort(-bounds, axis=1, kind="stable")[:, low:high]
+                        floors = [-np.inf if f is None else f for f in own["floor"].to_pylist()]
+                        fits = np.take_along_axis(bounds, order, axis=1) >= np.array(floors)[:, None]
+                        cells = [(first + o[f]).tolist() for o, f in zip(order, fits, strict=True)]
+                    yield from own.append_column("cells", pa.array(cells, pa.list_(pa.int32()))).to_batches()
+
+
 def search_shard(shard: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     """Hits of one block of queries in one shard."""
     hits: list[tuple[int, int, int]] = []
@@ -187,53 +297,79 @@ def top_k(vectors: DataFrame, *, every: int, k: int, levels: int = 256) -> DataF
     """
     columns_named(vectors, "vec_id", "embedding")
     ws = Workspace(vectors.sparkSession)
-    rows = vectors.count()
-    shards = -(-max(rows, 1) // SHARD_ROWS)
-    table = quantised(vectors, levels).withColumn(
-        "shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    )
-    queries = table.where(F.pmod("vec_id", F.lit(every)) == 0).select(
-        F.col("vec_id").alias("query_id"),
-        *[F.col(c).alias(c) for c in ("vector", "size", "shard")],
+    table = quantised(vectors, levels)
+    wanted = -(-max(vectors.count(), 1) // SHARD_ROWS)
+    sample = table.orderBy(F.rand(0)).limit(SAMPLE_ROWS).toArrow()
+    cells = Cells(sample, max(sample.num_rows // wanted, CELL_SAMPLE))
+    routed = ws.save(
+        table.mapInArrow(cells.assign, "vec_id long, vector array<long>, size int, cell int, away double"),
+        "cells",
+    ).df
+    # One row per cell: at most MOST_CELLS and one.
+    radii, parts, shards = np.zeros(cells.count), [1] * cells.count, 0
+    for cell, radius, n in routed.groupBy("cell").agg(F.max("away"), F.count(F.lit(1))).collect():
+        radii[cell], parts[cell] = radius, -(-n // SHARD_ROWS)
+        shards += parts[cell]
+    by_cell = lambda numbers: F.element_at(F.lit(numbers), F.col("cell") + 1)
+    shard_rows = routed.drop("away").withColumn(
+        "part", F.pmod(F.xxhash64("vec_id", "vector"), by_cell(parts)).cast("int")
     )
-    blocks = -(-max(rows // every, 1) // BLOCK_QUERIES)
+    queries = shard_rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumnRenamed("vec_id", "query_id")
 
-    def hits(shard_rows: DataFrame, asked: DataFrame) -> DataFrame:
-        keys = ["shard", "block"]
+    def hits(rows: DataFrame, asked: DataFrame) -> DataFrame:
+        keys = ["cell", "part", "block"]
         return (
-            shard_rows.groupBy(*keys)
+            rows.groupBy(*keys)
             .cogroup(asked.groupBy(*keys))
             .applyInArrow(lambda left, right: search_shard(left, right, k), HITS)
         )
 
-    # Queries of one shard and block are at most about SHARD_ROWS.
+    def best(found: DataFrame) -> DataFrame:
+        """The k best ids of each query with their ranks."""
+        # A query whose id repeats may have met one id several times.
+        met = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def visit(found: DataFrame, low: int, high: int) -> DataFrame:
+        """Hits in the low-th to before the high-th cell of each query, but for its own shard."""
+        floors = best(found).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        sent = ws.save(
+            queries.join(floors, "query_id", "left").mapInArrow(
+                lambda batches: cells.reach(radii, low, high, batches),
+                "query_id long, vector array<long>, size int, cell int, part int, floor long, cells array<int>",
+            ),
+            "sent",
+        ).df
+        asked = sent.withColumnsRenamed({"cell": "own_cell", "part": "own_part"}).withColumn(
+            "cell", F.explode("cells")
+        )
+        blocks = [0] * cells.count
+        for cell, n in asked.groupBy("cell").count().collect():
+            blocks[cell] = -(-n // BLOCK_QUERIES)
+        own = (F.col("cell") == F.col("own_cell")) & (F.col("part") == F.col("own_part"))
+        away = (
+            asked.withColumn("part", F.explode(F.sequence(F.lit(0), by_cell(parts) - 1)))
+            .where(~own)
+            .withColumn("block", F.pmod(F.xxhash64("query_id", "vector"), by_cell(blocks)).cast("int"))
+            .select("query_id", "vector", "size", "floor", "cell", "part", "block")
+        )
+        rows = shard_rows.where(by_cell(blocks) > 0).withColumn(
+            "block", F.explode(F.sequence(F.lit(0), by_cell(blocks) - 1))
+        )
+        return ws.save(hits(rows, away), "hits").df
+
+    # Queries of one shard are at most about SHARD_ROWS.
     none = F.lit(0).alias("block")
-    at_home = ws.save(
+    found = ws.save(
         hits(
-            table.select("*", none),
+            shard_rows.select("*", none),
             queries.select("*", none, F.lit(None).cast("long").alias("floor")),
         ),
         "home",
     ).df
-    if shards == 1:
-        found = at_home
-    else:
-        # A query whose id repeats may have met one id several times.
-        met = at_home.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        floors = met.groupBy("query_id").agg(
-            F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor")
-        )
-        block = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")
-        others = F.array_remove(F.sequence(F.lit(0), F.lit(shards - 1)), F.col("shard"))
-        away = queries.join(floors, "query_id", "left").select(
-            "query_id", "vector", "size", "floor", F.explode(others).alias("shard"), block.alias("block")
-        )
-        every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-        found = at_home.unionByName(hits(table.select("*", every_block), away))
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        best.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    if shards > 1:
+        found = found.unionByName(visit(found, 0, FIRST_CELLS))
+    if cells.count - 1 > FIRST_CELLS:
+        found = found.unionByName(visit(found, FIRST_CELLS, MOST_CELLS + 1))
+    return best(found).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,7 @@
 """The search against comparing all with all."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from crossweave.llm import topk_search as search
@@ -98,3 +99,49 @@ def test_ids_repeated_with_different_vectors_take_one_place(spark, listed, monke
         ranked = sorted((-s, i) for (own, i), s in best.items() if own == q)[:5]
         expected += [(q, r, i, -s) for r, (s, i) in enumerate(ranked, 1)]
     assert listed(search.top_k(frame, every=10, k=5)) == sorted(expected, key=repr)
+
+
+def visited(rows, k=5):
+    """(cells that queries of clustered vectors are sent to, cells in all, whether none was missed)."""
+    random = np.random.default_rng(5)
+    middles = random.standard_normal((rows // 40, 6)) * 300
+    points = (np.repeat(middles, 40, axis=0) + 20 * random.standard_normal((rows // 40 * 40, 6))).astype(np.int64)
+    table = pa.table({"vec_id": np.arange(len(points)), "vector": points.tolist(), "size": [6] * len(points)})
+    cells = search.Cells(table, 40)
+    cell, away = cells.route(points)
+    radii = np.zeros(cells.count)
+    np.maximum.at(radii, cell, away)
+    asked = points[::20]
+    scores = np.sort(asked @ points.T, axis=1)[:, -k]
+    sent = pa.table(
+        {"query_id": np.arange(len(asked)), "vector": asked.tolist(), "size": [6] * len(asked), "floor": scores}
+    )
+    met = []
+    for low, high in ((0, 4), (4, search.MOST_CELLS + 1)):
+        for batch in cells.reach(radii, low, high, iter(sent.to_batches())):
+            met += zip(batch["query_id"].to_pylist(), batch["cells"].to_pylist(), strict=True)
+    reached = {(q, c) for q, own in met for c in own}
+    assert len(reached) == sum(len(own) for _, own in met)
+    whole = all(
+        (q, int(cell[i])) in reached
+        for q, query in enumerate(asked)
+        for i in (points @ query >= scores[q]).nonzero()[0]
+    )
+    return len(reached), cells.count - 1, len(asked), whole
+
+
+def test_pruned_cells_hold_nothing_wanted_and_rows_sent_grow_less_than_the_square():
+    few, cells, asked, whole = visited(2000)
+    many, more_cells, more_asked, whole_too = visited(8000)
+    assert whole and whole_too
+    assert few < cells * asked / 3 and many < more_cells * more_asked / 3
+    assert more_cells > 3 * cells and many < few * 16 * 0.6
+
+
+def test_vectors_of_a_length_unknown_to_the_sample_are_searched(spark, listed, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_ROWS", 30)
+    monkeypatch.setattr(search, "SAMPLE_ROWS", 40)
+    rows, frame = vectors(spark)
+    rows = rows + [(3000 + i, [float(i), 1.0, -float(i)]) for i in range(20)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert listed(search.top_k(frame, every=10, k=5)) == sorted(by_hand(rows, 10, 5), key=repr)
