@@ -165,6 +165,53 @@ def candidates(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame | None:
 # Verification.
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
+PIECES = "array<struct<at:int,size:int>>"
+# Entries of a list that are gathered together; characters of a part of a text.
+GROUP = 256
+PART = 512
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)``, for which the value is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _gathered(items: Column, kind: str, step) -> Column:
+    """(at, found): ``step(at, item)`` gives the next place, from 0, and ``one`` to note, or null.
+
+    What is noted is gathered by groups, so that work grows with the items, not with their square.
+    """
+    none = F.array().cast(kind).alias("found")
+
+    def inner(so_far: Column, item: Column) -> Column:
+        return _once(
+            step(so_far["at"], item),
+            lambda s: F.struct(
+                s["at"].alias("at"),
+                F.when(s["one"].isNull(), so_far["found"])
+                .otherwise(F.concat(so_far["found"], F.array(s["one"]).cast(kind)))
+                .alias("found"),
+            ),
+        )
+
+    def by_group(items: Column) -> Column:
+        def outer(so_far: Column, first: Column) -> Column:
+            start = F.struct(so_far["at"].alias("at"), none)
+            return _once(
+                F.aggregate(F.slice(items, first, GROUP), start, inner),
+                lambda run: F.struct(
+                    run["at"].alias("at"),
+                    F.concat(so_far["found"], F.array(run["found"])).alias("found"),
+                ),
+            )
+
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(GROUP))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
+        return F.aggregate(
+            firsts, start, outer, lambda done: F.struct(done["at"].alias("at"), F.flatten(done["found"]).alias("found"))
+        )
+
+    return _once(items, by_group)
 
 
 def _spans(text: Column, number: int, rule: Rule) -> Column:
@@ -183,24 +230,15 @@ def _spans(text: Column, number: int, rule: Rule) -> Column:
         sized,
         lambda piece, match: F.struct(F.length(piece).alias("gap"), match.alias("match")),
     )
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
 
-    def step(so_far: Column, gap: Column) -> Column:
-        start = so_far["at"] + gap["gap"]
+    def step(at: Column, gap: Column) -> Column:
+        start = at + gap["gap"]
         end = start + gap["match"]["size"]
-        span = F.struct(
-            start.alias("start"), F.lit(number).alias("kind"), end.alias("end")
-        )
+        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
         fits = gap["match"].isNotNull() & (gap["match"]["part"] >= rule.least)
-        return F.struct(
-            F.coalesce(end, start).alias("at"),
-            F.when(fits, F.concat(so_far["found"], F.array(span)))
-            .otherwise(so_far["found"])
-            .cast(SPANS)
-            .alias("found"),
-        )
+        return F.struct(F.coalesce(end, start).alias("at"), F.when(fits, span).alias("one"))
 
-    return F.aggregate(gaps, nothing, step, lambda done: done["found"])
+    return _gathered(gaps, SPANS, step)["found"]
 
 
 def with_spans(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -270,28 +308,26 @@ def redact(docs: DataFrame, mark: str = "[secret]", rules: Sequence[Rule] = RULE
     All rows and columns stay; texts without a secret, and null ones, stay as they are.
     """
     spanned = with_spans(docs, rules)
-    start = F.struct(
-        F.lit("").alias("text"), F.lit(0).alias("at")  # written so far; where the rest begins
-    )
 
-    def step(so_far: Column, span: Column) -> Column:
-        kept = F.substring(F.col("text"), so_far["at"] + 1, span["start"] - so_far["at"])
-        apart = (span["start"] >= so_far["at"]) & ~(
-            (span["start"] == so_far["at"]) & (so_far["at"] > 0)
-        )
-        return F.struct(
-            F.when(apart, F.concat(so_far["text"], kept, F.lit(mark)))
-            .otherwise(so_far["text"])
-            .alias("text"),
-            F.greatest(so_far["at"], span["end"]).alias("at"),
-        )
-
-    clean = F.aggregate(
-        "spans",
-        start,
-        step,
-        lambda done: F.concat(done["text"], F.substring(F.col("text"), done["at"] + 1, 1 << 30)),
-    )
+    def step(at: Column, span: Column) -> Column:
+        """Where the rest begins, and the piece to keep before a mark."""
+        apart = (span["start"] >= at) & ~((span["start"] == at) & (at > 0))
+        piece = F.struct(at.alias("at"), (span["start"] - at).alias("size"))
+        return F.struct(F.greatest(at, span["end"]).alias("at"), F.when(apart, piece).alias("one"))
+
+    def written(known: Column) -> Column:
+        # A piece is cut from the parts that hold it, not from the text's beginning.
+        def piece(at: Column, size: Column) -> Column:
+            first, skip = F.floor(at / PART).cast("int"), at % PART
+            parts = F.slice(known["parts"], first + 1, F.floor((skip + size) / PART).cast("int") + 1)
+            return F.array_join(parts, "").substr(skip + 1, size)
+
+        kept = F.transform(known["run"]["found"], lambda p: F.concat(piece(p["at"], p["size"]), F.lit(mark)))
+        end = known["run"]["at"]
+        return F.concat(F.array_join(kept, ""), piece(end, F.length("text") - end))
+
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    clean = _once(F.struct(parts.alias("parts"), _gathered(F.col("spans"), PIECES, step).alias("run")), written)
     text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias("text")
     return spanned.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 

@@ -70,3 +70,30 @@ def test_redaction(spark, awkward):
     assert done.columns == awkward.columns and done.count() == awkward.count()
     for r in done.where("text IS NOT NULL").collect():
         assert not scan.spans_by_hand(r.text.replace("[secret]", " "))
+
+
+def redacted_by_hand(text, mark="[secret]"):
+    out, at = "", 0
+    for start, _, end in scan.spans_by_hand(text):
+        if start >= at and not (start == at and at > 0):
+            out += text[at:start] + mark
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_redaction_of_very_long_texts_with_many_secrets(spark):
+    hit = "token=abcdefgh 😀é\n"
+    texts = [
+        hit * 5000,
+        "😀a" * 700 + "token=abcdef",
+        "x" * 511 + " secret=abcdefgh" + "é" * 2000 + "AKIA" + "B" * 30 + "\r\n" + "z" * 512,
+        "password=token=abcdefghi" + "a1b2c3d4" * 200 + " 😀",
+        "token=abcdef" * 300,
+        *("y" * n + " token=" + "q" * 6 for n in range(500, 520)),
+        *(" token=" + "q" * n for n in range(500, 520)),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.text for r in scan.redact(docs).collect()}
+    assert got == {i: redacted_by_hand(t) for i, t in enumerate(texts)}
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in scan.with_spans(docs).collect()}
+    assert spans == {i: scan.spans_by_hand(t) for i, t in enumerate(texts)}
