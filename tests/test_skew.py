@@ -79,3 +79,19 @@ def test_queries_with_everything_hot(spark, ws, monkeypatch, name):
     for a, b in zip(got, expected):
         for x, y in zip(a, b):
             assert x == (pytest.approx(y, rel=1e-5) if isinstance(y, float) else y)
+
+
+def test_without_hot_keys_rows_get_no_part_numbers(spark):
+    """Tables long enough for hot keys that have none are joined plainly."""
+    left = spark.range(600).select((F.col("id") % 200).alias("k"), F.col("id").alias("a"))
+    joined = hot_join(left, left.withColumnRenamed("a", "b"), "k", left_rows=600, right_rows=600, hot_rows=50)
+    plan = joined._jdf.queryExecution().toString()
+    assert "_pl" not in plan and "xxhash64" not in plan
+    assert joined.count() == 1800
+
+
+def test_hot_keys_are_found_in_shared_buckets(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BUCKETS", 2)
+    keys = F.when(F.col("id") < 100, None).otherwise(F.col("id") % 100).alias("k")
+    shares = skew._shares(spark.range(1000).select(keys), ["k"], 40, "n")
+    assert rows(shares) == [(None, 3)]
