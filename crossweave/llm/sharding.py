@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from crossweave.workspace import Workspace
 
@@ -64,10 +65,12 @@ def shuffled(
     repeated with the same result, as the draws are written first.  An empty table gives an empty result.
     """
     ws = Workspace(records.sparkSession)
+    # Columns go by number until the end, as two may have one name.
+    numbered = records.toDF(*[f"c{i}" for i in range(len(records.columns))])
     drawn = ws.save(
-        records.select(
-            F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("row"),
-            _bytes(records).alias("size"),
+        numbered.select(
+            F.struct(*numbered.columns).alias("row"),
+            _bytes(numbered).alias("size"),
             F.monotonically_increasing_id().alias("number"),
         ).withColumn("draw", F.xxhash64(F.lit(seed), "number")),
         "drawn",
@@ -99,8 +102,10 @@ def shuffled(
         .select("offset", F.posexplode("all").alias("pos", "one"))
     )
     place = F.col("offset") + F.col("pos")
+    kinds = drawn.df.schema["row"].dataType.fields
+    named = StructType([StructField(n, k.dataType) for n, k in zip(records.columns, kinds, strict=True)])
     cut = dealt.select(
-        F.col("one.row").alias("row"),
+        F.col("one.row").cast(named).alias("row"),
         place.alias("place"),
         F.expr(f"int((offset + pos) * {shards} div {max(drawn.rows, 1)})").alias("shard"),
     )
