@@ -168,3 +168,25 @@ def test_map_functions_on_empty_and_missing(spark):
         maps.is_anomalous(F.col("none")),
     ).first()
     assert tuple(got) == (0, False, 3, None, ["a"], ["b"], False)
+
+
+def test_one_file_keeps_the_order_and_leaves_the_work_to_many_tasks(spark, tmp_path):
+    """Lines are formatted by the tasks that sort them; the writing task gets blocks, not lines."""
+    df = spark.range(0, 60_000, 1, 6).select((F.lit(60_000) - F.col("id")).alias("n"), F.lit("a\tb").alias("t"))
+    path = tmp_path / "r"
+    tables.write_report(df.orderBy("n"), str(path), single_file=True)
+    (file,) = path.glob("part-*")
+    assert file.read_text() == "".join(f"{n}\ta\\tb\n" for n in range(1, 60_001))
+    seen = []
+    write = tables.Workspace.save
+    tables.Workspace.save = lambda self, made, name: seen.append(write(self, made, name)) or seen[-1]
+    try:
+        tables.write_report(df.orderBy("n"), str(tmp_path / "s"), single_file=True)
+    finally:
+        tables.Workspace.save = write
+    assert 1 < seen[0].rows < 60
+
+
+def test_one_file_of_no_rows(spark, tmp_path):
+    tables.write_report(spark.range(0), str(tmp_path / "r"), single_file=True)
+    assert tables.read_report(spark, str(tmp_path / "r"), "id bigint").collect() == []
