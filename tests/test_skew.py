@@ -95,3 +95,10 @@ def test_hot_keys_are_found_in_shared_buckets(spark, monkeypatch):
     keys = F.when(F.col("id") < 100, None).otherwise(F.col("id") % 100).alias("k")
     shares = skew._shares(spark.range(1000).select(keys), ["k"], 40, "n")
     assert rows(shares) == [(None, 3)]
+
+
+def test_pages_of_one_query_each_need_no_table_of_distinct_pairs(spark, ws, monkeypatch):
+    names, save = [], type(ws).save
+    monkeypatch.setattr(type(ws), "save", lambda self, df, name: names.append(name) or save(self, df, name))
+    QUERIES["rank_by_title_hits"](corpus(spark, SMALL), ws)
+    assert "ranked" in names and "compared" not in names
