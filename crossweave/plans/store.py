@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.workspace import Stored, Workspace
+from crossweave.workspace import Stored, Workspace, shuffles_dropped
 
 CANDIDATES = "candidates"
 RANKED = "ranked"
@@ -67,7 +67,8 @@ class TableSet:
         """Write the tables of a run, unpublished."""
         run = uuid4().hex
         for name, table in tables.items():
-            table.write.parquet(f"{self.root}/run={run}/{name}")
+            with shuffles_dropped(self.spark):
+                table.write.parquet(f"{self.root}/run={run}/{name}")
         return run
 
     def publish(self, run: str, names: list[str]) -> None:
@@ -114,9 +115,10 @@ class ResultStore:
         """Write a run's rows; until ``commit`` nobody reads them."""
         run = uuid4().hex
         columns = [c.strip().split()[0] for c in ROWS[kind].split(",")][:-1]
-        rows.select(*columns).write.parquet(
-            f"{self._folder('rows', kind, step, centrality)}/run={run}"
-        )
+        with shuffles_dropped(self.spark):
+            rows.select(*columns).write.parquet(
+                f"{self._folder('rows', kind, step, centrality)}/run={run}"
+            )
         return run
 
     def commit(
@@ -124,7 +126,8 @@ class ResultStore:
     ) -> None:
         """Mark some queries as answered by a run; queries without rows count as answered."""
         marked = queries.select("query_id", F.lit(run).alias("run")).distinct()
-        marked.write.mode("append").parquet(self._folder("done", kind, step, centrality))
+        with shuffles_dropped(self.spark):
+            marked.write.mode("append").parquet(self._folder("done", kind, step, centrality))
 
     def append(
         self,
