@@ -69,6 +69,24 @@ def test_large_and_small_neighbourhoods_together(spark, ws):
                 assert a[2] == pytest.approx(b[2], rel=1e-12)
 
 
+def test_links_that_leave_a_neighbourhood_are_dropped_where_it_is_solved(spark, ws, monkeypatch):
+    """No table of all links among members is shuffled and written, however short the lists they travel in."""
+    links = edges(spark, [(i, (i * 7 + k) % 30) for i in range(30) for k in (1, 3, 5, 8)])
+    net = ego_net(ws, links, 2, ws.save(spark.range(9).withColumnRenamed("id", "ego"), "egos"))
+    expected = [rows(m(ws, net, links, 0)) for m in (measures.page_rank, measures.hub_score)]
+    names, save = [], type(ws).save
+    monkeypatch.setattr(type(ws), "save", lambda self, df, name: names.append(name) or save(self, df, name))
+    # The second limit lies between neighbourhoods, the third has them counted and finds none too large.
+    for length, limit in ((1024, None), (1, 70), (3, 100)):
+        monkeypatch.setattr(measures, "LIST_LINKS", length)
+        for measure, by_joins in zip((measures.page_rank, measures.hub_score), expected):
+            found = rows(measure(ws, net, links, limit))
+            assert [r[:2] for r in found] == [r[:2] for r in by_joins]
+            assert [r[2] for r in found] == pytest.approx([r[2] for r in by_joins], rel=1e-12)
+        if limit is None:
+            assert "graphs" not in names and "sizes" not in names
+
+
 def test_unknown_centrality(spark, ws):
     with pytest.raises(ValueError):
         measures.vectors(ws, nets(spark, {1: [2]}), edges(spark, [(1, 2)]), "XYZ")
