@@ -102,3 +102,21 @@ def test_pages_of_one_query_each_need_no_table_of_distinct_pairs(spark, ws, monk
     monkeypatch.setattr(type(ws), "save", lambda self, df, name: names.append(name) or save(self, df, name))
     QUERIES["rank_by_title_hits"](corpus(spark, SMALL), ws)
     assert "ranked" in names and "compared" not in names
+
+
+def _saved(ws, monkeypatch):
+    names, save = [], type(ws).save
+    monkeypatch.setattr(type(ws), "save", lambda self, df, name: names.append(name) or save(self, df, name))
+    return names
+
+
+def test_many_pairs_are_scored_in_parts(spark, ws, monkeypatch):
+    """No write deals out all pairs with their vectors, nor the candidates beside what can be reached."""
+    loaded, key = corpus(spark, SMALL), lambda row: tuple((x is not None, x) for x in row)
+    expected = sorted((tuple(r) for r in QUERIES["rank_stats"](loaded, ws).collect()), key=key)
+    names = _saved(ws, monkeypatch)
+    monkeypatch.setattr(similarity, "PARTED_PAIRS", 10)
+    got = sorted((tuple(r) for r in QUERIES["rank_stats"](loaded, ws).collect()), key=key)
+    assert got == expected
+    assert names.count("scored") == similarity.PARTS
+    assert {"useful", "alive"} < set(names)
