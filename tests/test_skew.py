@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from crossweave.operators import centrality, similarity, skew
+from crossweave.operators import centrality, neighborhood, similarity, skew
 from crossweave.operators.skew import hot_join
 from crossweave.plans.workload import QUERIES, corpus
 
@@ -120,3 +120,15 @@ def test_many_pairs_are_scored_in_parts(spark, ws, monkeypatch):
     assert got == expected
     assert names.count("scored") == similarity.PARTS
     assert {"useful", "alive"} < set(names)
+
+
+def test_names_travel_in_lists(spark, ws):
+    """Members are dealt out once with all their names, not once per language."""
+    net = ws.save(spark.sql("SELECT * FROM VALUES (1L, 10L), (1L, 11L), (2L, 10L) AS t(ego, member)"), "net")
+    names = "(10L, 'a', 'b', 20L), (10L, 'a', 'c', 30L), (11L, 'a', 'b', 20L), (11L, 'a', 'a', 11L)"
+    repaired = ws.save(spark.sql(f"SELECT * FROM VALUES {names} AS t(v, v_lang, lang, member)"), "repaired")
+    found = neighborhood.translated_net(net, repaired)
+    assert rows(found) == [(1, "a", 11), (1, "b", 20), (1, "c", 30), (2, "b", 20), (2, "c", 30)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(ego" in line]
+    assert exchanges and all("REPARTITION_BY_COL" in line for line in exchanges)
