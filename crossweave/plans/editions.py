@@ -48,6 +48,7 @@ class Editions:
         self.analysis = f"{table_dir}/analysis/{load_id(self.spark, table_dir)}"
         self.store = ResultStore(self.spark, f"{self.analysis}/results_{self.name}")
         self._graph: graphs.LinkGraph | None = None
+        self._valid: Stored | None = None
         self._published: dict[str, DataFrame] | None = None
 
     def _table(self, name: str, build) -> Stored:
@@ -64,11 +65,17 @@ class Editions:
 
     # Cross-links
 
+    def _valid_links(self) -> Stored:
+        """The consistent language links, which both the cross-net and its anomalies are made of."""
+        if self._valid is None:
+            links = self._language_links()
+            valid = crossnet.consistent_links(self._pages(), links.df, link_rows=links.rows)
+            self._valid = self.ws.save(valid, "validlinks")
+        return self._valid
+
     def cross(self) -> crossnet.CrossNet:
         def build() -> DataFrame:
-            return graphs.cross_links(
-                self.ws, self._pages(), self._language_links(), resolved=False
-            ).table.df
+            return crossnet.cross_net_summary(self._valid_links().df)
 
         return crossnet.CrossNet(self._table("crossnet", build))
 
@@ -76,11 +83,10 @@ class Editions:
         """The page universe and the anomalies, published together."""
 
         def build() -> dict[str, DataFrame]:
-            cross, links = self.cross(), self._language_links()
-            valid = crossnet.consistent_links(self._pages(), links.df, link_rows=links.rows)
+            cross, valid = self.cross(), self._valid_links()
             return {
                 "universe": graphs.universe_pages(self._pages(), cross),
-                "anomalies": crossnet.anomalies(cross, valid, link_rows=links.rows),
+                "anomalies": crossnet.anomalies(cross, valid.df, link_rows=valid.rows),
             }
 
         if self._published is None:
