@@ -12,6 +12,7 @@ from test_numerics import edges, nets
 
 from crossweave.functions import maps
 from crossweave.operators import centrality as measures
+from crossweave.operators import crossnet
 from crossweave.plans import graph as graphs
 from crossweave.plans.editions import Editions
 from crossweave.plans.store import CANDIDATES, RANKED, ResultStore, TableSet
@@ -101,6 +102,26 @@ def test_second_read_builds_nothing_and_another_load_starts_anew(spark, tmp_path
         assert (rows(other.pages().df), rows(other.anomalies().df)) == expected and built == [1, 1]
 
 
+def test_consistent_links_are_found_once(spark, tmp_path, monkeypatch):
+    """The cross-net, its anomalies and their hot keys are made from one written table; a page listed among its
+    own edition's is there without a link that says so."""
+    write_dump(str(tmp_path / "dump"))
+    languages = ["en", "nl", "pl", "sv"]
+    kinds = [dump.NORMAL_PAGE, dump.PAGE_LINK, dump.LANGUAGE_LINK]
+    dump.load_dump(spark, str(tmp_path / "dump"), str(tmp_path / "tables"), languages, kinds)
+    calls, plain = [], crossnet.consistent_links
+    counted = lambda *a, **k: calls.append(1) or plain(*a, **k)
+    monkeypatch.setattr(crossnet, "consistent_links", counted)
+    monkeypatch.setattr(graphs, "consistent_links", counted)
+    with Workspace(spark) as ws:
+        editions = Editions(ws, str(tmp_path / "tables"), languages)
+        found = rows(editions.anomalies().df)
+        assert calls == [1]
+        members = crossnet.counterpart_rows(editions._valid_links().df).select("v", "lang", "member").distinct()
+        several = editions.cross().ambiguous.df.select("v", "lang")
+        assert found and found == rows(members.join(several, ["v", "lang"], "left_semi"))
+
+
 ODD = ["", None, "\\N", "\\", "a\tb", '"q"', "line\nbreak", "\r\n", "\\t", "\\\\s", " ", "日本\\", "n\\n\n"]
 
 
