@@ -117,7 +117,11 @@ def test_many_pairs_are_scored_in_parts(spark, ws, monkeypatch):
     names = _saved(ws, monkeypatch)
     monkeypatch.setattr(similarity, "PARTED_PAIRS", 10)
     got = sorted((tuple(r) for r in QUERIES["rank_stats"](loaded, ws).collect()), key=key)
-    assert got == expected
+    assert len(got) == len(expected)
+    for a, b in zip(got, expected):
+        for x, y in zip(a, b):
+            # The order of additions shows in a skewness near 0.
+            assert x == (pytest.approx(y, rel=1e-5, abs=1e-9) if isinstance(y, float) else y)
     assert names.count("scored") == similarity.PARTS
     assert {"useful", "alive"} < set(names)
 
