@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossweave.llm.splitting import Splitter
-from crossweave.llm.worker import by_value, columns_named, kept, trim
+from crossweave.llm.worker import by_value, columns_named, kept, trim, uncollected
 
 by_value(__name__)
 
@@ -152,6 +152,9 @@ class Transducer:
                     queue.append(after)
         for state in near:
             state.on = {byte: move for byte, move in state.on.items() if move[1] in near}
+        for state in self.states.values():
+            if state not in near:
+                state.on.clear()  # else circles of states would need the collector
         self.states = {state.guesses: state for state in near}
 
     def _state(self, guesses: tuple) -> State:
@@ -225,12 +228,15 @@ class Transducer:
         out: list[int] = []
         state = self.start
         for byte in data:
-            move = state.on.get(byte) or self._move(state, byte)
-            out.extend(move[0])
+            move = state.on.get(byte)
+            if move is None:
+                if len(self.states) >= self.most_states:
+                    self._forget()
+                    state = self._state(state.guesses)
+                move = self._move(state, byte)
+            if move[0]:
+                out += move[0]
             state = move[1]
-            if len(self.states) > self.most_states:
-                self._forget()
-                state = self._state(state.guesses)
         for node, _, pending in state.guesses:
             if node == 0:
                 out.extend(pending)
@@ -326,7 +332,8 @@ def encode(text: Column, file: str, pattern: str) -> Column:
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine, _ = _coder(file, pattern)
         for texts in batches:
-            packed = [np.frombuffer(machine.encode_packed(t), dtype="<i4") for t in texts]
+            with uncollected():
+                packed = [np.frombuffer(machine.encode_packed(t), dtype="<i4") for t in texts]
             yield pd.Series(packed, dtype=object)
 
     return ids(text)
@@ -370,7 +377,8 @@ def with_ids(docs: DataFrame, file: str, pattern: str) -> DataFrame:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
                 texts = part.column(len(own)).to_pylist()
-                packed = [machine.encode_packed(t) for t in texts]
+                with uncollected():
+                    packed = [machine.encode_packed(t) for t in texts]
                 same = [
                     decoder.text(memoryview(p).cast("I")) == (t or "")
                     for p, t in zip(packed, texts, strict=True)
@@ -408,14 +416,15 @@ def encode_digests(docs: DataFrame, file: str, pattern: str) -> DataFrame:
         machine, decoder = _coder(file, pattern)
         for texts in batches:
             rows = []
-            for text in texts:
-                packed = machine.encode_packed(text)
-                back = hashlib.sha256()
-                for part in decoder.stream(memoryview(packed).cast("I")):
-                    back.update(part.encode("utf-8"))
-                rows.append(
-                    (len(packed) // 4, hashlib.sha256(packed).hexdigest(), back.hexdigest())
-                )
+            with uncollected():
+                for text in texts:
+                    packed = machine.encode_packed(text)
+                    back = hashlib.sha256()
+                    for part in decoder.stream(memoryview(packed).cast("I")):
+                        back.update(part.encode("utf-8"))
+                    rows.append(
+                        (len(packed) // 4, hashlib.sha256(packed).hexdigest(), back.hexdigest())
+                    )
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", digests("text").alias("made")).select("doc_id", "made.*")

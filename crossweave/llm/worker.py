@@ -7,7 +7,7 @@ import ctypes
 import gc
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -36,6 +36,19 @@ def kept(name: str, key: Any, make: Callable[[], Any]) -> Any:
     return held[1]
 
 
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """No garbage collection inside, for code that makes many objects to keep and lets go of none in circles:
+    each collection would look at all of them again."""
+    before = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if before:
+            gc.enable()
+
+
 def trim() -> None:
     """Give memory that a task has freed back to the system, for the stages that come after it."""
     gc.collect()

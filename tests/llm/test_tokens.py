@@ -1,6 +1,7 @@
 """Token counts and the transducer against the libraries whose results they must equal."""
 
 import codecs
+import gc
 import hashlib
 import random
 
@@ -11,6 +12,7 @@ from tokenizers import Tokenizer
 
 from crossweave.llm import bpe_transducer as bpe
 from crossweave.llm import token_counts as counts
+from crossweave.llm.worker import uncollected
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -152,3 +154,20 @@ def test_every_code_point_is_encoded_as_in_the_library():
     for c in every_code_point():
         text = f"a{c} b{c}'s 1{c}"
         assert machine.encode(text) == library.encode_ordinary(text), hex(ord(c))
+
+
+def test_transducer_needs_no_collector(monkeypatch):
+    """Forgotten states go at once, and batches are coded without the collector looking at all tables again."""
+    monkeypatch.setattr(bpe, "KEPT_STATES", 200)
+    machine = bpe.Transducer(RANKS, PATTERN)
+    seen = []
+    merged = machine._merged
+    monkeypatch.setattr(machine, "_merged", lambda data: seen.append(gc.isenabled()) or merged(data))
+    texts = odd_texts()[:400]
+    expected = [library().encode_ordinary(t) for t in texts]
+    gc.collect()
+    with uncollected():
+        assert [machine.encode(t) for t in texts] == expected
+        alive = sum(isinstance(o, bpe.State) for o in gc.get_objects())
+    assert gc.isenabled() and seen and not any(seen)
+    assert alive <= 250
