@@ -30,6 +30,9 @@ GROUP_ROWS = 512
 SPAN = 64
 # Slots whose lacking rows are summed together.
 LACK_SPAN = 4096
+# Rows of one part of the mixture's order at least, where there are parts enough for all cores: each part is a file when
+# it is written, and small ones cost more in files than in rows.
+PART_ROWS = 4096
 # Relative room for rounding when flows are compared.
 SLACK = 1e-12
 
@@ -275,8 +278,10 @@ def in_order(docs: DataFrame, weights: DataFrame, *, block_rows: int, seed: int
     # Whole rows, so that the mixture's columns can't replace any of theirs.
     whole = docs.select("doc_id", "source", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
     mixed = mix(whole, weights, block_rows=block_rows, seed=seed)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = docs.count() // parts + 1
+    rows, spark = docs.count(), docs.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(most, max(rows // PART_ROWS, 2 * spark.sparkContext.defaultParallelism))
+    size = rows // parts + 1
     return (
         mixed.repartitionById(parts, F.expr(f"cast(position div {size} as int)"))
         .sortWithinPartitions("position")

@@ -3,6 +3,8 @@
 from collections import Counter
 from fractions import Fraction
 
+from pyspark.sql import functions as F
+
 from crossweave.llm import mixing
 
 
@@ -140,3 +142,19 @@ def test_many_sources_of_mixed_weights(spark):
     weights = spark.createDataFrame(list(weight.items()), "source string, weight double")
     got = sorted(mixing.mix(docs, weights, block_rows=1).collect(), key=lambda r: r.position)
     assert farthest(got, weight, 1) < 1 + 1e-6
+
+
+def test_few_rows_make_few_parts(spark):
+    """Rows are dealt to no more parts than cores and rows ask for, still in the mixture's order."""
+    docs = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(300)], "doc_id long, source string")
+    weights, setting = mixing.tempered(docs, 0.5), "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "64")
+    try:
+        got = mixing.in_order(docs, weights, block_rows=4).withColumn("part", F.spark_partition_id()).collect()
+        expected = mixing.mix(docs, weights, block_rows=4).orderBy("position").collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert len({r.part for r in got}) <= 2 * spark.sparkContext.defaultParallelism
+    assert [r.source for r in got] == [r.source for r in expected]
+    assert sorted(r.doc_id for r in got) == list(range(300))
