@@ -4,6 +4,7 @@ import codecs
 import gc
 import hashlib
 import random
+import shutil
 
 import public_tokenizers
 import tiktoken
@@ -12,7 +13,6 @@ from tokenizers import Tokenizer
 
 from crossweave.llm import bpe_transducer as bpe
 from crossweave.llm import token_counts as counts
-from crossweave.llm.worker import uncollected
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -156,18 +156,33 @@ def test_every_code_point_is_encoded_as_in_the_library():
         assert machine.encode(text) == library.encode_ordinary(text), hex(ord(c))
 
 
-def test_transducer_needs_no_collector(monkeypatch):
-    """Forgotten states go at once, and batches are coded without the collector looking at all tables again."""
+def test_texts_are_coded_without_the_collector(spark, monkeypatch, tmp_path):
+    """While a batch is coded, the collector doesn't look at all tables again; forgotten states go without it."""
+    plain = bpe.Transducer.encode_packed
+
+    def watched(self, text):
+        import gc
+
+        if gc.isenabled():
+            raise AssertionError("the collector is on")
+        return plain(self, text)
+
     monkeypatch.setattr(bpe, "KEPT_STATES", 200)
     machine = bpe.Transducer(RANKS, PATTERN)
-    seen = []
-    merged = machine._merged
-    monkeypatch.setattr(machine, "_merged", lambda data: seen.append(gc.isenabled()) or merged(data))
     texts = odd_texts()[:400]
     expected = [library().encode_ordinary(t) for t in texts]
     gc.collect()
-    with uncollected():
+    gc.disable()
+    try:
         assert [machine.encode(t) for t in texts] == expected
         alive = sum(isinstance(o, bpe.State) for o in gc.get_objects())
-    assert gc.isenabled() and seen and not any(seen)
+    finally:
+        gc.enable()
     assert alive <= 250
+
+    monkeypatch.setattr(bpe.Transducer, "encode_packed", watched)
+    # A file of its own, as workers keep the coder of one they know.
+    own = shutil.copy(RANKS, tmp_path / "ranks.tiktoken")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:50])], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in bpe.encode_digests(docs, str(own), PATTERN).collect()}
+    assert got == {i: len(e) for i, e in enumerate(expected[:50])}
