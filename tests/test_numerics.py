@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from crossweave.functions import maps
-from crossweave.functions.similarity import tanimoto_maps
+from crossweave.functions.similarity import LOOKED_UP, array_dot_product, tanimoto_maps
 from crossweave.operators import centrality as measures
 from crossweave.operators.neighborhood import ego_net
 from crossweave.operators.reports import report_score, top_k
@@ -114,6 +114,20 @@ def test_tanimoto_of_maps(spark):
     assert (got.aa, got.ae, got.ee) == (1.0, 0.0, None)
 
 
+@pytest.mark.parametrize("shared", [0, 1, LOOKED_UP, LOOKED_UP + 1, 60])
+def test_dot_product_of_arrays(spark, shared):
+    """However many ids two vectors share, looked up or by maps; a weight that is missing counts as 0."""
+    a = {i: 0.5 + i for i in range(shared + 5)}
+    b = {i: 2.0 - i / 3 for i in range(5, shared + 15)} | ({} if shared else {99: 1.0})
+    b = {i: w for i, w in b.items() if i < 5 + shared or i > 80} | {70: None}
+    data = [(list(a), list(a.values()), list(reversed(b)), list(reversed(b.values())))]
+    columns = "ma array<bigint>, wa array<double>, mb array<bigint>, wb array<double>"
+    df = spark.createDataFrame(data, columns).withColumn("both", F.array_intersect("ma", "mb"))
+    assert len(df.first().both) == shared + (70 in a)
+    got = df.select(array_dot_product(*[F.col(c) for c in ("both", "ma", "wa", "mb", "wb")])).first()[0]
+    assert got == pytest.approx(sum(w * (b.get(i) or 0.0) for i, w in a.items()))
+
+
 @pytest.mark.parametrize("limit", [None, 2, 0])
 def test_pair_similarity_however_long_the_vectors(spark, ws, limit):
     vectors = {
