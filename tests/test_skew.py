@@ -1,11 +1,13 @@
 """Results don't depend on whether keys count as hot or vectors as long."""
 
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from crossweave.operators import centrality, neighborhood, similarity, skew
+from crossweave.operators import candidates, centrality, neighborhood, similarity, skew
 from crossweave.operators.skew import hot_join
+from crossweave.plans import analyses
 from crossweave.plans.workload import QUERIES, corpus
 
 SMALL = "/root/testdata/sf0.001"
@@ -136,3 +138,36 @@ def test_names_travel_in_lists(spark, ws):
     plan = found._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(ego" in line]
     assert exchanges and all("REPARTITION_BY_COL" in line for line in exchanges)
+
+
+@pytest.mark.parametrize("parted", [False, True])
+def test_candidates_of_a_query_are_looked_through_in_one_task(spark, ws, monkeypatch, parted):
+    """No rows of what can be reached are dealt out and made distinct, unless a query has too many candidates;
+    scores that were written in parts aren't written once more."""
+    if parted:
+        monkeypatch.setattr(similarity, "PARTED_PAIRS", 10)
+    loaded, names = corpus(spark, SMALL), _saved(ws, monkeypatch)
+    got = rows(QUERIES["rank_by_title_hits"](loaded, ws))
+    assert "alive" in names and not {"rankable", "alone"} & set(names)
+    assert ("ranked" in names) != parted
+    monkeypatch.setattr(analyses, "QUERY_ROWS", 3)
+    assert rows(QUERIES["rank_by_title_hits"](loaded, ws)) == got
+    assert {"rankable", "alone"} < set(names)
+
+
+def test_which_candidates_are_alive():
+    table = pa.table(
+        {
+            "query_id": ["a", "a", "a", "a", "b", "b", "b"],
+            "from": [1, 1, 2, 3, 1, 1, 9],
+            "to": [10, 11, 20, 30, 10, 20, 90],
+            # In "a", 10 and 20 deliver to one another, 11 to a page of another query, 30 to nothing; in "b"
+            # nothing that is delivered to is a candidate.
+            "dsts": pa.array([[20, 5], [90], [10], None, [5, 30], None, []], pa.list_(pa.int64())),
+        }
+    )
+    found = candidates._looked_through(table).to_pydict()
+    assert sorted(zip(*found.values())) == [
+        ("a", 1, 10, True), ("a", 2, 20, True), ("a", 3, 30, False),
+        ("b", 1, 10, False), ("b", 1, 20, False), ("b", 9, 90, False),
+    ]
