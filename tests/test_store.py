@@ -211,3 +211,23 @@ def test_one_file_keeps_the_order_and_leaves_the_work_to_many_tasks(spark, tmp_p
 def test_one_file_of_no_rows(spark, tmp_path):
     tables.write_report(spark.range(0), str(tmp_path / "r"), single_file=True)
     assert tables.read_report(spark, str(tmp_path / "r"), "id bigint").collect() == []
+
+
+def test_one_file_travels_in_short_blocks(spark, tmp_path, monkeypatch):
+    """Whoever reads blocks holds thousands at a time, so none grows with the rows of a batch; the order is kept."""
+    longest, save = [], Workspace.save
+
+    def seen(self, df, name):
+        made = save(self, df, name)
+        longest.append(made.df.agg(F.max(F.length("value"))).first()[0])
+        return made
+
+    monkeypatch.setattr(Workspace, "save", seen)
+    long = F.when(F.col("n") % 5000 == 7, F.repeat(F.lit("y"), 40_000)).otherwise("")
+    df = spark.range(30_000).select(F.col("id").alias("n"), F.concat(F.lit("x"), long).alias("x")).orderBy("n")
+    tables.write_report(df, str(tmp_path / "r"), single_file=True)
+    assert len(longest) == 1 and longest[0] <= tables.BLOCK_BYTES + 40_010
+    text = "".join(p.read_text() for p in (tmp_path / "r").glob("part-*"))
+    lines = text.split("\n")
+    assert lines.pop() == "" and [int(line.split("\t")[0]) for line in lines] == list(range(30_000))
+    assert len(text) == df.select(F.sum(F.length(F.concat_ws(" ", "n", "x")) + 1)).first()[0]
