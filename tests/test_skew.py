@@ -171,3 +171,17 @@ def test_which_candidates_are_alive():
         ("a", 1, 10, True), ("a", 2, 20, True), ("a", 3, 30, False),
         ("b", 1, 10, False), ("b", 1, 20, False), ("b", 9, 90, False),
     ]
+
+
+def test_hot_ends_of_pairs_are_looked_for_once(spark, ws, monkeypatch):
+    """However many parts are scored, the rows of each end are counted by bucket once where no key is hot."""
+    pairs = ws.save(spark.range(60).select(F.col("id").alias("from"), (F.col("id") + 1).alias("to")), "pairs")
+    vector = F.explode(F.sequence(F.col("id"), F.col("id") + 3)).alias("member")
+    weights = spark.range(61).select(F.col("id").alias("ego"), vector, F.lit(1.0).alias("weight"))
+    counted, shares = [], skew._shares
+    monkeypatch.setattr(skew, "_shares", lambda df, keys, *a: counted.append(keys) or shares(df, keys, *a))
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    monkeypatch.setattr(similarity, "PARTED_PAIRS", 10)
+    found = similarity.pair_similarity(ws, pairs, ws.save(weights, "weights"), unit=True, distinct=True)
+    assert {r.score for r in found.collect()} == {3 / 5} and found.count() == 60
+    assert counted == [["from"], ["to"]]
